@@ -11,7 +11,20 @@ P3_SQL = f"""WITH {STREAM_SQL}, t AS (
 SELECT arg_min(seq, (ts, seq)) AS first_seq, count(*) AS n_events, max(ts) - min(ts) AS span_s
 FROM r GROUP BY device, repo, k HAVING count(*) >= 3"""
 
+_HELD = """WITH e AS (
+  SELECT entry_id, batch_no, device, nullif(ts, 0) AS ts, trim(regexp_replace(lower(command), '\\s+', ' ', 'g')) AS c FROM import_entries), r AS (
+  SELECT -1 - seq AS o, device, nullif(ts, 0) AS ts, trim(regexp_replace(lower(command), '\\s+', ' ', 'g')) AS c FROM history
+  UNION ALL SELECT entry_id, device, ts, c FROM e), near AS (
+  SELECT e.entry_id FROM e JOIN r ON r.device = e.device AND r.ts BETWEEN e.ts - 5 AND e.ts + 5 AND r.o < e.entry_id
+  WHERE e.c = r.c OR (length(e.c) >= 20 AND length(r.c) >= 20 AND levenshtein(e.c, r.c) <= 3)), first AS (
+  SELECT device, c, min(o) AS o FROM r GROUP BY device, c), held AS (
+  SELECT entry_id FROM near UNION
+  SELECT e.entry_id FROM e JOIN first f ON f.device = e.device AND f.c = e.c AND f.o < e.entry_id WHERE e.ts IS NULL)"""
+
 ORACLE = {
+    "p6_found": f"{_HELD} SELECT entry_id FROM held",
+    "p6_batches": f"""{_HELD} SELECT batch_no, count(*) AS n_entries, count(h.entry_id) AS duplicates, count(*) - count(h.entry_id) AS n_new
+FROM import_entries i LEFT JOIN held h USING (entry_id) GROUP BY batch_no""",
     "p3_found": P3_SQL,
     "p5_found": "SELECT command FROM history GROUP BY command HAVING count(*) >= 0.005 * (SELECT count(*) FROM history)",
     "p5_counts": "SELECT command, count(*) AS n_rows FROM history WHERE command IS NOT NULL GROUP BY command ORDER BY n_rows DESC, command DESC LIMIT 20",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlore.llm import heavy, runs, subsequences
+from runlore.llm import heavy, newness, runs, subsequences
 from runlore.llm.oracle import ORACLE
 from runlore.runtime import table
 
@@ -27,6 +27,18 @@ def p5_counts(spark: SparkSession, sf: str) -> DataFrame:
     return heavy.top_values(table(spark, sf, "history"), "command", 20).select(F.col("value").alias("command"), F.col("n").alias("n_rows"))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return newness.held_entries(table(spark, sf, "history"), table(spark, sf, "import_entries"))
+
+
+def p6_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Per batch: entries, those new to their device and the duplicates."""
+    entries = table(spark, sf, "import_entries")
+    held = newness.held_entries(table(spark, sf, "history"), entries).withColumn("dup", F.lit(1))
+    dup = F.coalesce(F.sum("dup"), F.lit(0))
+    return entries.join(held, "entry_id", "left").groupBy("batch_no").agg(F.count("*").alias("n_entries"), dup.alias("duplicates"), (F.count("*") - dup).alias("n_new"))
+
+
 def p7_patterns(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates with the number of supporting sessions."""
     f = subsequences.frequent_subsequences(table(spark, sf, "history"))
@@ -39,7 +51,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "p3_found": p3_found, "p3_similar": p3_similar, "p5_found": p5_found, "p5_counts": p5_counts,
-    "p7_found": p7_found, "p7_patterns": p7_patterns,
+    "p6_found": p6_found, "p6_batches": p6_batches, "p7_found": p7_found, "p7_patterns": p7_patterns,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
