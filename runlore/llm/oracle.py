@@ -22,6 +22,7 @@ _HELD = """WITH e AS (
   SELECT e.entry_id FROM e JOIN first f ON f.device = e.device AND f.c = e.c AND f.o < e.entry_id WHERE e.ts IS NULL)"""
 
 ORACLE = {
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p6_found": f"{_HELD} SELECT entry_id FROM held",
     "p6_batches": f"""{_HELD} SELECT batch_no, count(*) AS n_entries, count(h.entry_id) AS duplicates, count(*) - count(h.entry_id) AS n_new
 FROM import_entries i LEFT JOIN held h USING (entry_id) GROUP BY batch_no""",

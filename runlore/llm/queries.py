@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlore.llm import heavy, newness, runs, subsequences
+from runlore.llm import bpe, heavy, newness, runs, secrets, subsequences
 from runlore.llm.oracle import ORACLE
 from runlore.runtime import table
 
@@ -49,7 +49,31 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_patterns(spark, sf).select("steps")
 
 
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.encode_texts(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def p8_decoded(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text encoded and decoded again."""
+    return bpe.decode_ids(p8_ids(spark, sf), "doc_id", "ids")
+
+
+def _commands(spark: SparkSession, sf: str) -> DataFrame:
+    h = table(spark, sf, "history").select(F.lit("history").alias("src"), F.col("seq").alias("row_id"), "command")
+    return h.unionAll(table(spark, sf, "import_entries").select(F.lit("import_entries"), "entry_id", "command"))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.find_secrets(_commands(spark, sf), ["src", "row_id"], "command").select("src", "row_id")
+
+
+def p2_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Commands with a secret, the secret masked in place."""
+    return secrets.find_secrets(_commands(spark, sf), ["src", "row_id"], "command")
+
+
 QUERIES = {
+    "p2_found": p2_found, "p2_redacted": p2_redacted, "p8_ids": p8_ids, "p8_decoded": p8_decoded,
     "p3_found": p3_found, "p3_similar": p3_similar, "p5_found": p5_found, "p5_counts": p5_counts,
     "p6_found": p6_found, "p6_batches": p6_batches, "p7_found": p7_found, "p7_patterns": p7_patterns,
 }
