@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlore.llm import bpe, heavy, newness, runs, secrets, subsequences
+from runlore.llm import bpe, heavy, newness, pii, runs, secrets, subsequences
 from runlore.llm.oracle import ORACLE
 from runlore.runtime import table
 
@@ -72,7 +72,17 @@ def p2_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.find_secrets(_commands(spark, sf), ["src", "row_id"], "command")
 
 
+def p10_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts with personal information, typed placeholders in its place."""
+    return pii.pseudonymise(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p10_clean(spark, sf).select("doc_id", F.explode("kinds").alias("kind")).distinct()
+
+
 QUERIES = {
+    "p10_found": p10_found, "p10_clean": p10_clean,
     "p2_found": p2_found, "p2_redacted": p2_redacted, "p8_ids": p8_ids, "p8_decoded": p8_decoded,
     "p3_found": p3_found, "p3_similar": p3_similar, "p5_found": p5_found, "p5_counts": p5_counts,
     "p6_found": p6_found, "p6_batches": p6_batches, "p7_found": p7_found, "p7_patterns": p7_patterns,
