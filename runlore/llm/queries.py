@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlore.llm import bpe, heavy, newness, pii, runs, secrets, subsequences
+from runlore.llm import bpe, heavy, leaks, newness, pii, runs, secrets, subsequences
 from runlore.llm.oracle import ORACLE
 from runlore.runtime import table
 
@@ -81,7 +81,17 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return p10_clean(spark, sf).select("doc_id", F.explode("kinds").alias("kind")).distinct()
 
 
+def p9_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaked items of each document with the longest quoted stretch."""
+    return leaks.find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p9_leaks(spark, sf).select("doc_id", "item_id").distinct()
+
+
 QUERIES = {
+    "p9_found": p9_found, "p9_leaks": p9_leaks,
     "p10_found": p10_found, "p10_clean": p10_clean,
     "p2_found": p2_found, "p2_redacted": p2_redacted, "p8_ids": p8_ids, "p8_decoded": p8_decoded,
     "p3_found": p3_found, "p3_similar": p3_similar, "p5_found": p5_found, "p5_counts": p5_counts,
