@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runlore.llm.bpe import VOCABULARY, Tokenizer, split_pattern, tokenizer, vocabulary_path
 
@@ -145,7 +146,7 @@ def find_secrets(df: DataFrame, ids: list[str], text_col: str, vocabulary: str =
     """
     path, pattern = vocabulary_path(vocabulary), pattern or split_pattern()
     picked = df.where(F.col(text_col).rlike(PREFILTER)).select(*ids, F.col(text_col).alias("__text"))
-    schema = picked.drop("__text").schema.add("masked", "string").add("starts", "array<int>").add("ends", "array<int>")
+    schema = picked.drop("__text").schema.add("masked", "string").add("starts", T.ArrayType(T.IntegerType())).add("ends", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(tokenizer(path, pattern))
