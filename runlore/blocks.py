@@ -8,7 +8,9 @@ one block.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows that one windowed block should hold at most.
@@ -36,3 +38,62 @@ def block_seconds(df: DataFrame, keys: list[str], ts: str, target_rows: int = TA
 
 def block_of(ts: str, seconds: int) -> Column:
     return F.floor(F.coalesce(F.col(ts), F.lit(0)) / F.lit(seconds)).cast("long")
+
+
+def with_following(df: DataFrame, keys: list[str], order: str, n: int, fields: list[str], into: str = "following", block: int | None = None) -> DataFrame:
+    """Each row with an array of structs of the ``n`` rows after it in its stream (fewer at the end).
+
+    Rows are windowed per block; the first rows of the next blocks stand in at a block's end.
+    """
+    block = block or block_seconds(df, keys, order)
+    item = F.struct(*fields)
+    if block >= WHOLE:  # every stream is one block: nothing crosses a border
+        return df.withColumn(into, F.collect_list(item).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(1, n)))
+    d = df.withColumn("__block", block_of(order, block))
+    blk = [*keys, "__block"]
+    w = Window.partitionBy(*blk).orderBy(order)
+    heads = d.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).groupBy(*blk).agg(F.array_sort(F.collect_list(F.struct(order, item.alias("__item")))).alias("h"))
+    after = Window.partitionBy(*keys).orderBy("__block").rowsBetween(1, n)
+    tails = heads.select(*blk, F.transform(F.flatten(F.collect_list("h").over(after)), lambda r: r["__item"]).alias("__tail"))
+    d = d.withColumn("__in", F.collect_list(item).over(w.rowsBetween(1, n))).join(_null_safe(tails, blk), _on(d, tails, blk), "left")
+    return d.withColumn(into, F.slice(F.concat("__in", F.coalesce("__tail", F.expr("filter(__in, x -> false)"))), 1, n)).select(*df.columns, into)
+
+
+def _null_safe(right: DataFrame, cols: list[str]) -> DataFrame:
+    return right.select(*[F.col(c).alias(f"__r_{c}") for c in cols], *[c for c in right.columns if c not in cols])
+
+
+def _on(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
+    cond = None
+    for c in cols:
+        eq = F.col(c).eqNullSafe(F.col(f"__r_{c}"))
+        cond = eq if cond is None else cond & eq
+    return cond
+
+
+def with_runs(df: DataFrame, keys: list[str], order: str, fields: list[str], starts: Callable[[Column], Column], into: str = "run", block: int | None = None) -> DataFrame:
+    """Each row with the ``order`` value of the first row of its run.
+
+    ``starts(prev)`` says whether a row begins a run, given a struct of ``fields`` of the row before it; the
+    first row of a stream always does. Blocks hand on their last row and their last start.
+    """
+    block = block or block_seconds(df, keys, order)
+    opens = lambda prev: F.when(F.col(prev).isNull(), F.lit(True)).otherwise(F.coalesce(starts(F.col(prev)), F.lit(False)))
+    if block >= WHOLE:
+        w = Window.partitionBy(*keys).orderBy(order)
+        d = df.withColumn("__prev", F.lag(F.struct(*fields)).over(w)).withColumn("__start", opens("__prev"))
+        return d.withColumn(into, F.max(F.when(F.col("__start"), F.col(order))).over(w.rowsBetween(Window.unboundedPreceding, 0))).select(*df.columns, into)
+    d = df.withColumn("__block", block_of(order, block))
+    blk = [*keys, "__block"]
+    w = Window.partitionBy(*blk).orderBy(order)
+    over_blocks = Window.partitionBy(*keys).orderBy("__block")
+    last = d.groupBy(*blk).agg(F.max_by(F.struct(*fields), order).alias("l"))
+    carry = last.select(*blk, F.lag("l").over(over_blocks).alias("__carry"))
+    d = d.withColumn("__in", F.lag(F.struct(*fields)).over(w)).join(_null_safe(carry, blk), _on(d, carry, blk), "left")
+    prev = F.coalesce("__in", "__carry")
+    d = d.withColumn("__prev", prev).withColumn("__start", opens("__prev"))
+    d = d.withColumn("__run", F.max(F.when(F.col("__start"), F.col(order))).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop(*[f"__r_{c}" for c in blk])
+    tops = d.groupBy(*blk).agg(F.max("__run").alias("t"))
+    held = tops.select(*blk, F.max("t").over(over_blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("__held"))
+    d = d.join(_null_safe(held, blk), _on(d, held, blk), "left")
+    return d.withColumn(into, F.coalesce("__run", "__held")).select(*df.columns, into)

@@ -1,0 +1,35 @@
+"""Concept maps: what words of a question are called in a shell."""
+
+from __future__ import annotations
+
+import json
+import logging
+from pathlib import Path
+
+#: A starter map; a deployment layers its own JSON file over it.
+SHIPPED: dict[str, list[str]] = {
+    "archive": ["tar ", "zip ", "gzip"], "background": ["tmux", "nohup", "screen"], "build": ["make", "cargo build", "go build", "docker build", "npm run build"], "certificate": ["openssl", "certbot"],
+    "checksum": ["sha256sum", "md5sum"], "cluster": ["kubectl", "helm"], "compare": ["diff"], "connect": ["ssh ", "psql", "mysql"], "container": ["docker", "podman", "kubectl exec"], "copy": ["cp ", "scp ", "rsync"],
+    "count": ["wc ", "uniq -c"], "database": ["psql", "mysql", "pg_dump", "redis-cli", "alembic"], "dependencies": ["npm ci", "npm install", "pip install", "go mod"], "deploy": ["helm upgrade", "kubectl rollout", "terraform apply", "rsync"],
+    "disk space": ["df ", "du "], "download": ["curl -o", "wget"], "dump": ["pg_dump", "mysqldump"], "fix": ["fmt", "lint"], "infrastructure": ["terraform"], "kill": ["kill ", "pkill"], "logs": ["journalctl", "tail ", "docker logs", "kubectl logs"],
+    "migrate": ["alembic", "migrate"], "network": ["nc ", "dig ", "curl", "ping"], "permissions": ["chmod", "chown"], "port": ["port-forward", "nc ", "lsof"], "process": ["ps ", "top"], "restart": ["systemctl restart", "rollout restart"],
+    "search text": ["grep", "rg "], "test": ["pytest", "cargo test", "go test", "make test"], "undo": ["git reset", "git revert", "git stash"], "upload": ["aws s3 cp", "scp "],
+}
+STOPWORDS = frozenset("a an and are as at be by command do for from how i in into is it me my of on or that the this to used was what when where which with you".split())
+
+
+def load_concepts(path: str | None = None) -> tuple[dict[str, list[str]], set[str]]:
+    """The shipped map with the user's file layered over it: concepts replace, stopwords add.
+
+    A file that is missing or broken leaves the shipped map as it is, with a warning for the latter.
+    """
+    concepts, stop = dict(SHIPPED), set(STOPWORDS)
+    if path and Path(path).exists():
+        try:
+            raw = json.loads(Path(path).read_text(encoding="utf-8"))
+            own = {k.lower(): [s for s in v if isinstance(s, str)] for k, v in raw.items() if isinstance(v, list) and not k.startswith("_")}
+            stop |= {w for w in raw.get("_stopwords", []) if isinstance(w, str)}
+            concepts |= own
+        except (OSError, ValueError, AttributeError) as e:
+            logging.getLogger(__name__).warning("concept map %s is not usable: %s", path, e)
+    return concepts, stop
