@@ -25,7 +25,7 @@ def words(text: Column) -> Column:
 
 
 def tool(command: Column) -> Column:
-    return F.element_at(words(command), 1)
+    return F.try_element_at(words(command), F.lit(1))
 
 
 def contains_all(command: Column, terms: list[str]) -> Column:

@@ -52,7 +52,7 @@ def corrections_per_repo(history: DataFrame) -> DataFrame:
     flake = open_ & (F.col("n.command") == F.col("command"))
     f = f.select("repo_key", "seq", "command", "ts", "repo", "exit_code", "place", F.col("n.command").alias("fix"), (late | flake).alias("ends"), (open_ & ~flake).alias("may"))
     stop = f.where("ends").groupBy("repo_key", "seq").agg(F.min("place").alias("stop"))
-    word = lambda c: F.element_at(F.split(F.regexp_replace(F.trim(c), r"^((sudo|doas)\s+)+", ""), r"\s+"), 1)
+    word = lambda c: F.try_element_at(F.split(F.regexp_replace(F.trim(c), r"^((sudo|doas)\s+)+", ""), r"\s+"), F.lit(1))
     # different first words can only be a correction of a program that was not found (quotes are left to Python)
     near = (word(F.col("command")) == word(F.col("fix"))) | (F.col("exit_code") == NOT_FOUND) | F.rlike(F.concat("command", "fix"), F.lit("[\"'\\\\]"))
     may = f.where(F.col("may") & near).join(stop, ["repo_key", "seq"], "left").where("stop is null or place < stop")

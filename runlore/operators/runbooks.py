@@ -102,13 +102,13 @@ def import_json(docs: DataFrame, fallback: str = "imported") -> DataFrame:
 
 def import_markdown(docs: DataFrame, fallback: str = "imported") -> DataFrame:
     """Documents (``value``) with ``## name`` headings and tables of backticked commands and comments, as steps."""
-    lines = docs.select(F.posexplode(F.split("value", "\r?\n")).alias("p", "line"), F.monotonically_increasing_id().alias("doc"))
+    lines = docs.select("value").distinct().select(F.xxhash64("value").alias("doc"), "value").select("doc", F.posexplode(F.split("value", "\r?\n")).alias("p", "line"))
     head = F.regexp_extract("line", r"^##\s+(\S.*?)\s*$", 1)
     cmd, comment = F.regexp_extract("line", r"^\|\s*`([^`]+)`\s*\|", 1), F.regexp_extract("line", r"^\|\s*`[^`]+`\s*\|\s*(.*?)\s*\|?\s*$", 1)
     rows = lines.select("doc", "p", F.when(head != "", head).alias("head"), cmd.alias("cmd"), F.when(comment != "", comment).alias("comment"))
     heads = rows.where("head is not null").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("p", "head"))).alias("heads"))
     steps = rows.where("cmd <> ''").join(heads, "doc", "left")
-    above = F.element_at(F.filter("heads", lambda h: h["p"] < F.col("p")), -1)["head"]
+    above = F.try_element_at(F.filter("heads", lambda h: h["p"] < F.col("p")), F.lit(-1))["head"]
     steps = steps.select("doc", "p", F.coalesce(F.when(F.rlike(above, F.lit(NAME)), above), F.lit(fallback)).alias("group_name"), "cmd", "comment")
     g = steps.groupBy("doc", "group_name").agg(F.array_sort(F.collect_list(F.struct("p", "cmd", "comment"))).alias("rows"))
     return g.select("group_name", F.posexplode("rows").alias("k", "r")).select("group_name", (F.col("k") + 1).alias("step_no"), "r.cmd", "r.comment")

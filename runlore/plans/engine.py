@@ -225,9 +225,9 @@ def _vars_sql(col: str) -> str:
 
 
 _STEPS = "(SELECT DISTINCT scope, group_name, description, step_no, cmd, comment, vars FROM runbook_steps)"
-_DECLARED = f"""decl AS (SELECT scope, group_name, step_no, name, max_by(coalesce(v, chr(0)), at) AS v FROM (
-  SELECT scope, group_name, step_no, unnest({_vars_sql('cmd')}) AS name, NULL AS v, -1 AS at FROM {_STEPS}
-  UNION ALL SELECT scope, group_name, step_no, x.name, x.default_value, at FROM (SELECT *, unnest(vars) AS x, generate_subscripts(vars, 1) AS at FROM {_STEPS})) GROUP BY ALL)"""
+_DECLARED = f"""decl AS (SELECT scope, group_name, step_no, name, max_by(coalesce(v, chr(0)), pos) AS v FROM (
+  SELECT scope, group_name, step_no, unnest({_vars_sql('cmd')}) AS name, NULL AS v, -1 AS pos FROM {_STEPS}
+  UNION ALL SELECT scope, group_name, step_no, x.name, x.default_value, pos FROM (SELECT *, unnest(vars) AS x, generate_subscripts(vars, 1) AS pos FROM {_STEPS})) GROUP BY ALL)"""
 
 ORACLE = {
     "command_variables": f"SELECT seq, array_to_string({_vars_sql('command')}, ',') AS names FROM history WHERE contains(command, '$')",
