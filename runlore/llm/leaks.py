@@ -239,7 +239,8 @@ def longest_quote(item: list[int], text: list[int]) -> int:
     """Most consecutive item words that the text holds in order, with at most one edit in any ten.
 
     A common subsequence of the two in which any two changed, dropped or added words have nine kept ones between
-    them. State per pair of places: kept words since the last edit (up to nine) and item words covered.
+    them. State per pair of places: kept words since the last edit (up to nine) and item words covered. Texts
+    without an unbroken stretch that a long enough quote must have give the length of their longest stretch.
     """
     need = EDIT_EVERY - 1
     where: dict[int, list[int]] = defaultdict(list)

@@ -23,7 +23,7 @@ CHUNK = 20_000
 def step_of(command: Column) -> Column:
     """The first two words of a command, lower-case and without a leading sudo; null where there is no word."""
     words = F.filter(F.split(F.lower(command), r"(?U)\s+"), lambda w: w != "")
-    words = F.when(F.element_at(words, 1) == "sudo", F.slice(words, 2, 2)).otherwise(F.slice(words, 1, 2))
+    words = F.when(F.try_element_at(words, F.lit(1)) == "sudo", F.slice(words, 2, 2)).otherwise(F.slice(words, 1, 2))
     return F.when(F.size(words) > 0, F.array_join(words, " "))
 
 
