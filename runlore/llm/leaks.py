@@ -19,9 +19,12 @@ from runlore.runtime import scratch
 PASSAGE, STRIDE = 16, 4
 #: Latent dimensions, and extra ones of the random start.
 RANK, EXTRA = 128, 16
-#: Latent cosine from which an item is a candidate. A corpus passage laid over a quote of 16 words shares at
-#: least 12 of 16 words with the item passage at the same place, which stays well above.
+#: Latent cosine from which an item is a candidate. Passages of both sides begin every four words, so over a quote
+#: of 16 words one of the corpus lies within two words of it and one of the item within two words of that: with two
+#: edits at least 10 of 16 words agree, which stays well above.
 MIN_COSINE = 0.45
+#: Item words a passage must have to be looked at: the bound above.
+MIN_SHARED = 10
 #: A quote has this many consecutive item words, with at most one edit in any ten.
 MIN_WORDS, EDIT_EVERY = 16, 10
 
@@ -84,8 +87,8 @@ class Space:
         return v, np.sqrt((v**2).sum(1) + other)
 
 
-#: Vectors of so many passages are held at a time.
-_ROWS = 4096
+#: Passages whose vectors, and non-zero weights whose products, are held at a time.
+_ROWS, _CELLS = 4096, 1 << 15
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[object, np.ndarray]]:
@@ -95,20 +98,56 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[object, np.ndarray]]:
         yield doc, flat[ends[k] : ends[k + 1]]
 
 
-def _blocks(space: Space, batches: Iterator[pa.RecordBatch], stride: int) -> Iterator[np.ndarray]:
-    held, n = [], 0
-    for b in batches:
-        for _, ids in _texts(b):
-            if (ids < space.size).any():
-                p = space.passages(ids, stride)
-                for k in range(0, len(p), _ROWS):
-                    held.append(p[k : k + _ROWS])
-                    n += len(held[-1])
-                    if n >= _ROWS:
-                        yield np.concatenate(held)
-                        held, n = [], 0
-    if held:
-        yield np.concatenate(held)
+def _dense(space: Space, batch: pa.RecordBatch) -> Iterator[tuple[object, np.ndarray]]:
+    """The texts of a batch with enough item words within the length of a passage."""
+    lists = batch.column(1)
+    known = lists.flatten().to_numpy(zero_copy_only=False) < space.size
+    c = np.concatenate(([0], np.cumsum(known)))
+    ends = np.minimum(np.arange(len(known)) + PASSAGE, len(known))
+    rich = np.concatenate(([0], np.cumsum(c[ends] - c[:-1] >= MIN_SHARED)))  # a window may reach into the next text
+    at = 0
+    for (doc, ids), n in zip(_texts(batch), lists.value_lengths().fill_null(0).to_pylist()):
+        if rich[at + n] > rich[at]:
+            yield doc, ids
+        at += n
+
+
+def _sparse(space: Space, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The consecutive passages of a batch of texts as a sparse matrix: passage and word of each item word, how
+    often it is there, and how many other words each passage has. Ordered by passage."""
+    lists = batch.column(1)
+    ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
+    per_text = -(-sizes // PASSAGE)
+    at = np.arange(len(ids)) - np.repeat(starts, sizes)
+    passage = at // PASSAGE + np.repeat(np.cumsum(per_text) - per_text, sizes)
+    known = ids < space.size
+    other = np.bincount(passage[~known], minlength=int(per_text.sum()))
+    code, tf = np.unique(passage[known] * space.size + ids[known], return_counts=True)
+    return code // space.size, code % space.size, tf, other
+
+
+def _gram_times(space: Space, batch: pa.RecordBatch, m: np.ndarray) -> np.ndarray:
+    """A'(A m) for the passages of a batch, through the non-zero weights only."""
+    p, w, tf, other = _sparse(space, batch)
+    val = tf * space.idf[w]
+    norm = np.sqrt(np.bincount(p, val**2, minlength=len(other)) + other * space.idf[-1] ** 2)
+    val = val / norm[p]
+    out = np.zeros_like(m)
+    edges = np.flatnonzero(np.diff(p, prepend=-1))  # where passages begin
+    cuts = [0, *edges[np.searchsorted(edges, np.arange(_CELLS, len(p), _CELLS))[:-1]].tolist(), len(p)] if len(p) > _CELLS else [0, len(p)]
+    for a, b in zip(cuts, cuts[1:]):
+        if a == b:
+            continue
+        pw, ww, vw = p[a:b], w[a:b], val[a:b, None]
+        first = np.flatnonzero(np.diff(pw, prepend=-1))
+        y = np.add.reduceat(m[ww] * vw, first)
+        back = y[np.cumsum(np.diff(pw, prepend=-1) != 0) - 1] * vw
+        order = np.argsort(ww, kind="stable")
+        head = np.flatnonzero(np.diff(ww[order], prepend=-1))
+        out[ww[order][head]] += np.add.reduceat(back[order], head)
+    return out
 
 
 def _matrix_rows(m: np.ndarray) -> pa.RecordBatch:
@@ -131,23 +170,17 @@ def _sum_rows(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
 def latent_space(space: Space, tokens: DataFrame, seed: int = 7) -> None:
     """Weights and randomised SVD of the TF-IDF matrix of all corpus passages (A, of item words).
 
-    Y = A'(A Omega) is summed over the partitions; an orthonormal Q of Y and T = (A Q)'(A Q), summed the same
-    way, give the right singular vectors as Q times the eigenvectors of T. All passages take part; the driver
+    Y = A'(A Omega) is summed over the partitions; with an orthonormal Q of Y, T = Q'(A'(A Q)) is summed the same
+    way, and Q times the eigenvectors of T are the right singular vectors. All passages take part; the driver
     only holds matrices of vocabulary by rank.
     """
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(space.size + 1, np.int64), 0
+        df = np.zeros(space.size + 1, np.int64)
         for b in batches:
-            for _, ids in _texts(b):
-                p = space.passages(ids, PASSAGE)
-                n += len(p)
-                if len(p) and (ids < space.size).any():
-                    seen = np.zeros((len(p), space.size + 1), bool)
-                    row, col = np.nonzero((p >= 0) & (p < space.size))
-                    seen[row, p[row, col]] = True
-                    df += seen.sum(0)
-        df[-1] = n
+            _, w, _, other = _sparse(space, b)
+            df[:-1] += np.bincount(w, minlength=space.size)
+            df[-1] += len(other)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df[at], pa.int64())], names=["w", "n"])
 
@@ -156,23 +189,18 @@ def latent_space(space: Space, tokens: DataFrame, seed: int = 7) -> None:
         total[row["w"]] = row["n"]
     space.weigh(total[:-1], int(total[-1]))
     width = min(space.size, RANK + EXTRA)
-    omega = np.random.default_rng(seed).standard_normal((space.size, width))
 
-    def project(q: np.ndarray, gram: bool):
+    def times(m: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros((width, width) if gram else (space.size, width))
-            for p in _blocks(space, batches, PASSAGE):
-                v, norm = space.vectors(p)
-                v = v / np.maximum(norm, 1e-9)[:, None]
-                y = v @ q
-                out += (y.T @ y) if gram else v.T @ y
+            out = np.zeros_like(m)
+            for b in batches:
+                out += _gram_times(space, b, m)
             yield _matrix_rows(out)
 
-        return run
+        return _sum_rows(tokens.mapInArrow(run, "r int, v array<double>"), m.shape)
 
-    y = _sum_rows(tokens.mapInArrow(project(omega, False), "r int, v array<double>"), (space.size, width))
-    q, _ = np.linalg.qr(y)
-    t = _sum_rows(tokens.mapInArrow(project(q, True), "r int, v array<double>"), (width, width))
+    q, _ = np.linalg.qr(times(np.random.default_rng(seed).standard_normal((space.size, width))))
+    t = q.T @ times(q)
     _, u = np.linalg.eigh((t + t.T) / 2)
     space.basis = q @ u[:, ::-1][:, : min(RANK, width)]
 
@@ -184,7 +212,7 @@ class Matcher:
         self.space = space
         vectors, self.owner = [], []
         for k, (_, ws) in enumerate(space.words):
-            p = space.passages(space.ids(ws), 1)
+            p = space.passages(space.ids(ws), STRIDE)
             v, norm = space.vectors(p)
             vectors.append(v / np.maximum(norm, 1e-9)[:, None])
             self.owner += [k] * len(p)
@@ -196,15 +224,12 @@ class Matcher:
     def candidates(self, ids: np.ndarray) -> dict[int, list[int]]:
         """Items with a passage near enough to one of the text's, and where in the text (starts of passages)."""
         out: dict[int, list[int]] = defaultdict(list)
-        if not (ids < self.space.size).any():
-            return out
         p = self.space.passages(ids, STRIDE)
         starts = np.minimum(np.arange(len(p)) * STRIDE, max(0, len(ids) - PASSAGE))
-        share = (p < self.space.size).mean(1)
+        shared = ((p < self.space.size) & (p >= 0)).sum(1)
         for k in range(0, len(p), _ROWS):
-            # over a quote at least 12 of 16 words are item words; then the cosine cannot exceed the share of the
-            # passage's weight that lies on item words
-            some = np.flatnonzero(share[k : k + _ROWS] > 0.3) + k
+            # the cosine cannot exceed the share of the passage's weight that lies on item words
+            some = np.flatnonzero(shared[k : k + _ROWS] >= MIN_SHARED) + k
             if not len(some):
                 continue
             v, norm = self.space.vectors(p[some])
@@ -301,7 +326,7 @@ def find_leaks(corpus: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher(space)
         for b in batches:
-            found = [(doc, space.words[o][0], n) for doc, ids in _texts(b) for o, n in m.leaks(ids)]
+            found = [(doc, space.words[o][0], n) for doc, ids in _dense(space, b) for o, n in m.leaks(ids)]
             cols = list(zip(*found)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1]).cast(item_arrow), pa.array(cols[2], pa.int64())], names=[id_col, item_id, "n_words"])
 
