@@ -28,12 +28,13 @@ def tool(command: Column) -> Column:
     return F.try_element_at(words(command), F.lit(1))
 
 
-def contains_all(command: Column, terms: list[str]) -> Column:
-    """Every term occurs, in any case and order; no terms match nothing."""
-    out = F.lit(bool(terms))
+def contains_all(lower: Column, terms: list[str]) -> Column:
+    """Every term occurs in a lower-case text, in any order; no terms match nothing."""
+    out = None
     for t in terms:
-        out = out & F.contains(F.lower(command), F.lit(t.lower()))
-    return out
+        hit = F.contains(lower, F.lit(t.lower()))
+        out = hit if out is None else out & hit
+    return F.lit(False) if out is None else out
 
 
 def tokens(command: Column) -> Column:

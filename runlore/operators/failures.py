@@ -83,7 +83,7 @@ def fixes_for(history: DataFrame, query: str | None = None, repo: str | None = N
     """Corrections of the latest failure that matches the query, one of this repository before any other."""
     bad = history.where(_failed())
     if query:
-        bad = bad.where(contains_all(F.col("command"), query.split()))
+        bad = bad.where(contains_all(F.lower("command"), query.split()))
     local = F.coalesce(F.col("repo") == F.lit(repo), F.lit(False))
     latest = bad.orderBy(F.desc(local), F.desc("ts"), F.desc("seq")).limit(1).select(F.col("command").alias("failed"))
     found = corrections(history).join(F.broadcast(latest), "failed", "left_semi")

@@ -36,9 +36,11 @@ def _ranked(matched: DataFrame, query: str, now: int, repo: str | None, picks: D
 def search(history: DataFrame, query: str, now: int, repo: str | None = None, limit: int = 10, picks: DataFrame | None = None) -> DataFrame:
     """Commands holding every word of the query, best first: command, ts, repo, frequency, score (6 places).
 
-    Needs command, ts, repo, seq. An empty query finds nothing. Ties go to the newer, then the text.
+    Needs command, ts, repo, seq. An empty query finds nothing. Ties go to the newer, then the text. Over the
+    written history table its lower-case column is searched, whose filters reach the Parquet scan.
     """
-    hits = history.where(contains_all(F.col("command"), query.split()))
+    low = F.col("command_lc") if "command_lc" in history.columns else F.lower("command")
+    hits = history.where(contains_all(low, query.split()))
     out = _ranked(hits, query, now, repo, picks)
     return out.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), F.desc("ts"), "command").limit(limit)
 
@@ -122,5 +124,5 @@ def search_sessions(sessions: DataFrame, query: str) -> DataFrame:
 
 def pattern_search(patterns: DataFrame, query: str, limit: int = 10) -> DataFrame:
     """Patterns whose text or example holds every word, most frequent first."""
-    hit = contains_all(F.col("pattern"), query.split()) | contains_all(F.col("example"), query.split())
+    hit = contains_all(F.lower("pattern"), query.split()) | contains_all(F.lower("example"), query.split())
     return patterns.where(hit).orderBy(F.desc("frequency"), "pattern").limit(limit)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,8 +40,6 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Valid events of JSON-lines files with ``seq``, their order within their file."""
     lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
     events = parse_events(lines).where("is_valid").drop("is_valid", "value")
-    from pyspark.sql import Window
-
     return events.withColumn("seq", F.row_number().over(Window.partitionBy("file").orderBy("at")).cast("long")).drop("at")
 
 
@@ -62,6 +60,11 @@ def write_sessions(sessions: DataFrame, path: str, mode: str = "append") -> None
     sessions.withColumn("day", F.to_date(F.timestamp_seconds("started_at"))).write.mode(mode).partitionBy("day").json(path)
 
 
+def as_json(df: DataFrame) -> DataFrame:
+    """Rows as JSON text, nulls kept, for callers outside the cluster: value."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def hidden(command: str = "command"):
     """Commands typed with a leading blank are not recorded."""
     return F.rlike(F.col(command), F.lit(r"^\s"))

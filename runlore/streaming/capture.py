@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from runlore.operators.picks import merge_picks
 from runlore.operators.work_sessions import IDLE_S
-from runlore.sources.events import HISTORY, hidden, parse_events
+from runlore.sources.events import HISTORY, hidden, parse_events, write_history
 
 _OUT = "device string, started_at long, ended_at long, repo string, n_commands int, summary string, commands array<string>"
 _STATE = "commands array<string>, last_ts long, repo string"
@@ -71,4 +71,21 @@ def keep_picks(selections: DataFrame, path: str, now, checkpoint: str):  # noqa:
     return selections.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-__all__ = ["HISTORY", "event_stream", "keep_picks", "live_sessions", "windowed_counts"]
+def maintained(events: DataFrame, path: str, checkpoint: str, maintain, every: int = 20):  # noqa: ANN001, ANN201
+    """A running query that appends events to the history table and calls ``maintain(spark)`` once ``every`` events
+    have come in since the last call (the count is of this run; a restart begins anew)."""
+    seen = [0]
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        write_history(batch, f"{path}/batch={number}", "overwrite")
+        seen[0] += batch.count()
+        batch.unpersist()
+        if seen[0] >= every:
+            seen[0] = 0
+            maintain(events.sparkSession)
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+__all__ = ["HISTORY", "event_stream", "keep_picks", "live_sessions", "maintained", "windowed_counts"]

@@ -41,3 +41,13 @@ def test_picks_and_windows(spark, tmp_path):
     q = capture.windowed_counts(capture.event_stream(spark, str(w))).writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.n, r.failed) for r in spark.table("w").collect()) == [(1, 0), (2, 1)]
+
+
+def test_maintenance_runs_every_so_often(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    calls = []
+    go = lambda: capture.maintained(capture.event_stream(spark, str(src)), str(tmp_path / "t"), str(tmp_path / "c"), calls.append, 3).awaitTermination()
+    write(src / "1.jsonl", [{"command": "a", "ts": n, "dir": "", "repo": "/r"} for n in range(4)])
+    go()
+    assert len(calls) == 1 and spark.read.parquet(str(tmp_path / "t")).count() == 4
