@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlore.blocks import block_of, block_seconds
+from runlore.runtime import checkpointed
 
 MIN_SHARE = 0.08
 LENGTHS = (3, 5)
@@ -312,7 +313,7 @@ def frequent_subsequences(history: DataFrame, share: float = MIN_SHARE, lengths:
     if not steps:
         return spark.createDataFrame([], schema)
     items = spark.createDataFrame([(s, i) for i, s in enumerate(steps)], "step string, item int")
-    seqs = weighted_sequences(rows, items, most_len, block_s)
+    seqs = checkpointed(weighted_sequences(rows, items, most_len, block_s))  # small, and read by every later pass
     part = seqs.mapInArrow(_pairs(len(steps)), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     paired = sorted({x for r in part.where(F.col("n") >= least).collect() for x in (r["a"], r["b"])})
     if not paired:
