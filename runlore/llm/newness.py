@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runlore.runtime import scratch
@@ -16,6 +16,8 @@ MIN_CHARS = 20
 CELL_S = 32
 #: A command is cut into this many paragraphs; with fewer edits than paragraphs one is untouched.
 PARTS = MAX_EDITS + 1
+#: Tasks over which the entries of one content are spread.
+SALTS = 8
 
 
 def normal(command: Column) -> Column:
@@ -27,6 +29,11 @@ def _cell(device: Column | str, cell: Column) -> Column:
     return F.xxhash64(F.lit("cell"), device, cell)
 
 
+def _content(device: Column | str, norm: Column) -> Column:
+    """96 bits that stand for a device's normalised command: one column, so grouping and bucketing share a shuffle."""
+    return F.substring(F.unhex(F.md5(F.concat_ws("\u0001", device, norm))), 1, 12)
+
+
 def _cut(length: Column, part: int) -> tuple[Column, Column]:
     """Start (from 0) and size of a paragraph of a text of that length."""
     lo, hi = F.floor(length * part / PARTS), F.floor(length * (part + 1) / PARTS)
@@ -72,23 +79,22 @@ def _record_rows(df: DataFrame, ord_: Column) -> DataFrame:
 
 def _content_rows(df: DataFrame, ord_: Column) -> DataFrame:
     """Distinct contents of each device with their earliest order; combined before the shuffle."""
-    n = normal(F.col("command"))
-    rows = df.where("command is not null").select(F.xxhash64("device", n).alias("content"), F.hash(n, "device").alias("check"), ord_.alias("ord"))
-    return rows.groupBy("content", "check").agg(F.min("ord").alias("ord"))
+    rows = df.where("command is not null").select(_content("device", normal(F.col("command"))).alias("content"), ord_.alias("ord"))
+    return rows.groupBy("content").agg(F.min("ord").alias("ord"))
 
 
 class Accepted:
     """Everything accepted so far: hash tables bucketed by key in the shared folder, grown by each batch.
 
-    ``records`` (cell, ts, ord, norm), bucketed by the hash of (device, time cell), and ``contents`` (content,
-    check, ord), bucketed by the content hash. A batch is met by joins that read both tables bucket by bucket
+    ``records`` (cell, ts, ord, norm), bucketed by the hash of (device, time cell), and ``contents`` (content, ord),
+    bucketed by the content hash. A batch is met by joins that read both tables bucket by bucket
     without shuffling them, and adds only its own rows; nothing accepted before is worked through again.
     ``ord`` orders records: an entry is compared with smaller ones only. History rows come before all entries.
     """
 
     def __init__(self, spark: SparkSession, buckets: int | None = None, path: str | None = None) -> None:
         self.spark = spark
-        self.buckets = buckets or min(4096, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.path = path or scratch(spark, "accepted")
         self.name = f"runlore_{uuid.uuid4().hex[:12]}"
         self.made: set[str] = set()
@@ -96,14 +102,14 @@ class Accepted:
     def _append(self, what: str, rows: DataFrame, key: str) -> None:
         name = f"{self.name}_{what}"
         mode = "append" if what in self.made else "errorifexists"
-        rows.repartition(self.buckets, key).write.format("parquet").mode(mode).bucketBy(self.buckets, key).option("path", f"{self.path}/{what}").saveAsTable(name)
+        rows.write.format("parquet").mode(mode).bucketBy(self.buckets, key).option("path", f"{self.path}/{what}").saveAsTable(name)
         self.made.add(what)
 
     def _table(self, what: str) -> DataFrame:
         return self.spark.table(f"{self.name}_{what}")
 
     def add(self, rows: DataFrame, ord_: Column) -> None:
-        self._append("records", _record_rows(rows, ord_), "cell")
+        self._append("records", _record_rows(rows, ord_).repartition(self.buckets, "cell"), "cell")
         self._append("contents", _content_rows(rows, ord_), "content")
 
     def add_history(self, history: DataFrame) -> None:
@@ -122,18 +128,36 @@ class Accepted:
         """
         ord_ = F.col("entry_id").cast("long")
         batch = entries.where("command is not null and entry_id is not null").select("device", "command", F.col("ts").cast("long").alias("ts"), "entry_id")
-        undated = batch.where("ts is null or ts <= 0").select(ord_.alias("eid"), F.xxhash64("device", normal(F.col("command"))).alias("content"), F.hash(normal(F.col("command")), "device").alias("check"))
-        own = _content_rows(batch, ord_).select("content", "check", F.col("ord").alias("first"))
-        stored = self._table("contents").select("content", "check", F.col("ord").alias("first"))
-        later = (F.col("first") < F.col("eid"))
-        same = lambda c: undated.alias("u").join(c.alias("c"), (F.col("u.content") == F.col("c.content")) & (F.col("u.check") == F.col("c.check")) & later, "left_semi").select("eid")
-        exact = same(stored).unionAll(same(own))
-
-        at = batch.where("ts > 0").select(ord_.alias("eid"), "device", F.col("ts").alias("at"), normal(F.col("command")).alias("norm"))
+        return self._held_undated(batch, ord_).unionAll(self._held_dated(batch, ord_)).distinct().select(F.col("eid").alias("entry_id"))
+
+    def _held_undated(self, batch: DataFrame, ord_: Column) -> DataFrame:
+        """By content alone. The table is met by the batch's distinct contents, bucket by bucket; each content's
+        earliest order then goes out once per salt, so entries of one hot content are spread over tasks."""
+        undated = batch.where("ts is null or ts <= 0").select(ord_.alias("eid"), _content("device", normal(F.col("command"))).alias("content"))
+        asked = undated.groupBy("content").agg(F.count("*").alias("n"))
+        known = self._table("contents").join(asked, "content", "left_semi").unionByName(_content_rows(batch, ord_).join(asked, "content", "left_semi"))
+        first = known.groupBy("content").agg(F.min("ord").alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return undated.withColumn("salt", F.pmod("eid", F.lit(SALTS)).cast("int")).join(first, ["content", "salt"]).where("first < eid").select("eid")
+
+    def _held_dated(self, batch: DataFrame, ord_: Column) -> DataFrame:
+        """By time and by content or paragraph hashes.
+
+        Equal entries of a device and second hold one another, so only the first of them looks further, and
+        equal records of a second count once: a burst of one command makes no pairs.
+        """
+        dated = batch.where("ts > 0").select(ord_.alias("eid"), "device", F.col("ts").alias("at"), normal(F.col("command")).alias("norm"))
+        first = Window.partitionBy("device", "at", F.xxhash64("norm"), "norm").orderBy("eid")
+        ranked = dated.withColumn("nth", F.row_number().over(first))
+        copies = ranked.where("nth > 1").select("eid")
+        at = ranked.where("nth = 1").drop("nth")
         cells = F.array_distinct(F.array(F.floor((F.col("at") - NEAR_S) / CELL_S), F.floor((F.col("at") + NEAR_S) / CELL_S)))
         probe = at.select("eid", "at", "norm", F.explode(F.transform(cells, lambda c: _cell(F.col("device"), c))).alias("cell"))
-        near_stored = self._table("records").join(probe.select("cell").distinct(), "cell", "left_semi")
-        near = near_stored.unionByName(_record_rows(batch, ord_))
+        # both parts are distinct by cell, second and text, and the stored one without leaving its buckets
+        stored = self._table("records").join(probe.select("cell").distinct(), "cell", "left_semi").groupBy("cell", "ts", "norm").agg(F.min("ord").alias("ord"))
+        own = at.select(_cell("device", F.floor(F.col("at") / CELL_S)).alias("cell"), F.col("at").alias("ts"), "norm", F.col("eid").alias("ord"))
+        path = scratch(self.spark, "near")
+        stored.unionByName(own).write.parquet(path)
+        near = self.spark.read.parquet(path)
         keyed = near.select(F.explode(_record_keys()).alias("key"), "ts", "ord")
         wanted = probe.select(F.explode(F.array_distinct(_entry_keys())).alias("key"), "at", "eid")
         close = (F.abs(F.col("ts") - F.col("at")) <= NEAR_S) & (F.col("ord") < F.col("eid"))
@@ -142,8 +166,7 @@ class Accepted:
         alike = (F.col("norm") == F.col("theirs")) | (
             (F.char_length("norm") >= MIN_CHARS) & (F.char_length("theirs") >= MIN_CHARS) & (F.levenshtein("norm", "theirs", MAX_EDITS) >= 0)
         )
-        checked = pairs.join(at.select("eid", "norm"), "eid").join(texts, "ord").where(alike).select("eid")
-        return exact.unionAll(checked).distinct().select(F.col("eid").alias("entry_id"))
+        return pairs.join(at.select("eid", "norm"), "eid").join(texts, "ord").where(alike).select("eid").unionAll(copies)
 
     def drop(self) -> None:
         """Remove the tables from the catalog; the files stay with the shared folder's owner."""
