@@ -107,7 +107,8 @@ class Finder:
         rate = self.per_subword(v)
         varied = any(c.isdigit() for c in v) and any(c.isalpha() for c in v) or any(not c.isalnum() and c not in "-_./:" for c in v)
         if sure == "named":
-            return rate < UNNATURAL or (varied and rate < LOOSE and not re.fullmatch(r"[\d.]+\w?", v)) or (len(v) >= 8 and varied)
+            words = re.fullmatch(r"[a-z]+(?:[-_./:][a-z]+)*", v)
+            return (rate < UNNATURAL and not words) or (varied and rate < LOOSE and not re.fullmatch(r"[\d.]+\w?", v)) or (len(v) >= 8 and varied)
         return len(v) >= 12 and rate < UNNATURAL and varied
 
     def spans(self, command: str) -> list[tuple[int, int]]:
