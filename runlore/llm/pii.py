@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ _INIT = rf"[{_UP}]\."
 _PERSON = rf"(?:{_LAST}(?:{_B}{{1,2}}{_INIT})?{_B}{{1,2}}{_LAST}|{_LAST},{_B}{_LAST}(?:{_B}{_INIT})?|{_INIT}(?:{_B}?{_INIT})?{_B}?{_LAST})"
 
 # -- e-mail
-_MAIL = re.compile(r"(?<![\w.+%\-@])[\w.+%\-]*\w@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w@])")
+_HOST = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w@])")
 _SPELT = re.compile(
     rf"(?<![\w.+\-])[\w.+\-]*\w{_S}?(?:(?:\(at\)|\[at\]|\{{at\}}|<at>){_S}?[\w\-]+(?:{_S}?(?:\(dot\)|\[dot\]|\{{dot\}}|<dot>|\.){_S}?[A-Za-z][\w\-]*)+"
     rf"|{_S}at{_S}[\w\-]+(?:{_S}dot{_S}[A-Za-z][\w\-]*)+)",
@@ -75,17 +76,26 @@ _ZIP = rf"(?:,?{_S}\d{{4,5}}{_S}{_TOWN})?"
 _DE = rf"\b[{_UP}][\w\-]*(?:stra(?:ß|ss)e|str\.|allee|weg|gasse|platz|ring|damm|ufer|STRASSE|ALLEE|WEG|GASSE|PLATZ|RING|DAMM|UFER){_S}\d{{1,4}}[a-z]?\b{_ZIP}"
 _FR = rf"(?<![\w.:\-/])\d{{1,4}}(?:{_S}?(?:bis|ter))?,?{_S}(?:rue|avenue|boulevard|bd|impasse|chemin|all[ée]e|place|quai|cours|route|square|passage|RUE|AVENUE|BOULEVARD|IMPASSE|CHEMIN|PLACE|QUAI){_S}(?:(?:de{_S}la|de{_S}l[’']|du|des|de|d[’']|la|le|les|DE{_S}LA|DU|DES|DE){_S}?)?[{_UP}][\w’'\-]+(?:{_S}[{_UP}][\w’'\-]+)?{_ZIP}"
 _ES = rf"\b(?:Calle|Avenida|Avda\.?|Plaza|Paseo|Camino|Carrera|CALLE|AVENIDA|PLAZA|PASEO){_S}(?:(?:de{_S}(?:la|los|las)|del|de|DE{_S}LA|DEL|DE){_S})?[{_UP}][\w’'\-]+(?:{_S}[{_UP}][\w’'\-]+)?,?{_S}\d{{1,4}}\b{_ZIP}"
-_ADDRESS = tuple(re.compile(p) for p in (_EN, _DE, _FR, _ES))
+_ADDRESS = {k: re.compile(p) for k, p in (("en", _EN), ("de", _DE), ("fr", _FR), ("es", _ES))}
+#: Cheap signs without which an address pattern cannot match, and how far around the sign it can reach.
+_STREET_END = re.compile(rf"(?:{_STREET[3:_STREET.index(')')]})\b")
+_HOUSE_END = re.compile(rf"(?:stra(?:ß|ss)e|str\.|allee|weg|gasse|platz|ring|damm|ufer|STRASSE|ALLEE|WEG|GASSE|PLATZ|RING|DAMM|UFER){_S}\d")
+_FR_SIGNS = ("rue", "avenue", "boulevard", "bd", "impasse", "chemin", "allée", "allee", "place", "quai", "cours", "route", "square", "passage")
+_FR_SIGN = re.compile(rf"\d,?{_S}?(?:bis|ter)?,?{_S}(?:{'|'.join(_FR_SIGNS)})", re.I)
+_ES_SIGNS = ("calle", "avenida", "avda", "plaza", "paseo", "camino", "carrera")
+#: Six digits or more, hardly apart: where a telephone or identity number can be.
+_ZONE = re.compile(r"\d(?:[ \u00a0\t.()/\-]{0,3}\d){5,}")
+_REACH = 60
 
 # -- names
-_BEFORE = (
-    rf"(?i:\b(?:ask|thanks{_S}to|thank|merci{_S}(?:à|a)|gracias{_S}a|danke{_S}an|r[üu]ckfragen{_S}bitte{_S}an|preguntas{_S}a|signed(?:{_S}by)?|signed-off-by:|reviewed-by:|co-authored-by:|acked-by:|tested-by:|reported-by:"
-    rf"|(?:reviewed|written|approved|reported|maintained|owned|prepared|edited|merged){_S}by|assigned{_S}to|on{_S}call(?:{_S}this{_S}week)?:|owner{_S}?[=:]|author{_S}?[=:]|maintainer{_S}?[=:]|contact:|kontakt:|assignee{_S}?[=:]|name{_S}?[=:]|"
-    rf"dear|m(?:r|rs|s)\.|dr\.|herr|frau|señora?|madame|monsieur))(?:(?<=[:=.]){_B}?|(?<![:=.]){_B})[\"'(]?"
-)
-_AFTER = rf"(?i:{_S}(?:said|says|found{_S}(?:that|out)|wrote|writes|asked|reported|noticed|approved|confirmed|joined|mentioned|replied|answered|suggested|agreed|pointed{_S}out|fixed|merged)\b)"
-_CUED = re.compile(rf"{_BEFORE}(?P<v>{_PERSON})")
-_DOING = re.compile(rf"(?<![\w.])(?P<v>{_PERSON})(?={_AFTER})")
+#: What stands right before a name, in lower case and single blanks; ``_AFTER``: what a person then does.
+_CUES = (
+    "ask", "thanks to", "thank", "merci à", "merci a", "gracias a", "danke an", "rückfragen bitte an", "ruckfragen bitte an", "preguntas a", "signed", "signed by", "signed-off-by:", "reviewed-by:", "co-authored-by:",
+    "acked-by:", "tested-by:", "reported-by:", "reviewed by", "written by", "approved by", "reported by", "maintained by", "owned by", "prepared by", "edited by", "merged by", "assigned to", "on call:", "on call this week:",
+    "owner =", "owner=", "owner:", "owner :", "author =", "author=", "author:", "author :", "maintainer =", "maintainer=", "maintainer:", "contact:", "kontakt:", "assignee =", "assignee=", "assignee:", "name =", "name=", "name:",
+    "dear", "mr.", "mrs.", "ms.", "dr.", "herr", "frau", "señor", "señora", "madame", "monsieur",
+)
+_AFTER = re.compile(rf"{_S}(?:said|says|found{_S}(?:that|out)|wrote|writes|asked|reported|noticed|approved|confirmed|joined|mentioned|replied|answered|suggested|agreed|pointed{_S}out|fixed|merged)\b", re.I)
 _ANY = re.compile(rf"(?<![\w.@/\-])(?P<v>{_PERSON})(?![\w@])")
 
 #: Given names that make a pair of capitalised words a person without further signs. Fixed values.
@@ -165,20 +175,34 @@ class Feistel:
         return hashlib.blake2b(text.encode(), key=self.key, digest_size=5).hexdigest()
 
 
-def _mails(text: str) -> Iterator[tuple[int, int]]:
-    for m in _MAIL.finditer(text):
-        local, _, host = m[0].lower().partition("@")
-        labels = host.split(".")
-        after = text[m.end() : m.end() + 2]
-        if local == "git" or labels[-1] in _UNITS or labels[0][-1].isdigit() and len(labels) > 2:
-            continue
-        if after[:1] == ":" and (after[1:].isalnum() or after[1:] in "/~") and after[1:]:
-            continue
-        line = text[max(0, m.start() - 80) : m.start()]
-        if not _LOGIN.search(line):
+_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.+%-")
+
+
+def _mails(text: str, low: str) -> Iterator[tuple[int, int]]:
+    at = text.find("@")
+    while at >= 0:
+        a, m = at, _HOST.match(text, at + 1)
+        if m:
+            while a and (text[a - 1] in _LOCAL or text[a - 1].isalnum()):
+                a -= 1
+            whole = a < at and (text[at - 1].isalnum() or text[at - 1] == "_") and not (a and text[a - 1] == "@")
+            if whole and _is_mail(text, a, m):
+                yield a, m.end()
+        at = text.find("@", at + 1)
+    if "dot" in low or any(x in low for x in ("(at)", "[at]", "{at}", "<at>")):
+        for m in _SPELT.finditer(text):
             yield m.span()
-    for m in _SPELT.finditer(text):
-        yield m.span()
+
+
+def _is_mail(text: str, a: int, m: re.Match) -> bool:
+    """Not a login on a machine, a clone address or a unit."""
+    labels = m[0].lower().split(".")
+    after = text[m.end() : m.end() + 2]
+    if text[a : m.start() - 1].lower() == "git" or labels[-1] in _UNITS or labels[0][-1].isdigit() and len(labels) > 2:
+        return False
+    if after[:1] == ":" and after[1:] and (after[1:].isalnum() or after[1:] in "/~"):
+        return False
+    return not _LOGIN.search(text[max(0, a - 80) : a])
 
 
 def _digits(text: str) -> int:
@@ -186,59 +210,87 @@ def _digits(text: str) -> int:
 
 
 def _numbers(text: str) -> Iterator[tuple[int, int, str]]:
-    for m in _LABELLED.finditer(text):
-        if 6 <= _digits(m["v"]) <= 14:
-            yield (*m.span("v"), "id_number")
-    for m in _BARE_ID.finditer(text):
-        yield (*m.span(), "id_number")
-    for rx in (_PHONE, _CALLED):
-        for m in rx.finditer(text):
-            a, b = m.span("v") if rx is _CALLED else m.span()
-            if 7 <= _digits(text[a:b]) <= 17:
-                yield a, b, "phone"
-
-
-def _plausible(name: str) -> bool:
-    words = re.findall(r"[^\W\d_]+", name)
+    found: set[tuple[int, int, str]] = set()
+    done = 0
+    for zone in _ZONE.finditer(text):
+        a, b = max(done, zone.start() - _REACH), min(len(text), zone.end() + 16)
+        done = max(done, zone.start() - 4)
+        for m in _LABELLED.finditer(text, a, b):
+            if 6 <= _digits(m["v"]) <= 14:
+                found.add((*m.span("v"), "id_number"))
+        for m in _BARE_ID.finditer(text, a, b):
+            found.add((*m.span(), "id_number"))
+        for rx in (_PHONE, _CALLED):
+            for m in rx.finditer(text, a, b):
+                x, y = m.span("v") if rx is _CALLED else m.span()
+                if 7 <= _digits(text[x:y]) <= 17:
+                    found.add((x, y, "phone"))
+    yield from found
+
+
+def _addresses(text: str, low: str) -> Iterator[tuple[int, int, str]]:
+    found: set[tuple[int, int]] = set()
+    for kind, sign in (("en", _STREET_END), ("de", _HOUSE_END)):
+        for hit in sign.finditer(text):
+            found.update(m.span() for m in _ADDRESS[kind].finditer(text, max(0, hit.start() - _REACH - 20), hit.end() + _REACH + 20))
+    if any(x in low for x in _FR_SIGNS):
+        for hit in _FR_SIGN.finditer(text):
+            found.update(m.span() for m in _ADDRESS["fr"].finditer(text, max(0, hit.start() - 8), hit.end() + _REACH + 40))
+    if any(x in low for x in _ES_SIGNS):
+        found.update(m.span() for m in _ADDRESS["es"].finditer(text))
+    for a, b in found:
+        yield a, b, "address"
+
+
+_PART = re.compile(r"[^\W\d_]+")
+
+
+def _plausible(words: list[str]) -> bool:
     if any(len(w) > 1 and w.lower() in _NO_NAME for w in words):
         return False
     long = [w for w in words if len(w) > 1]
     return bool(long) and all(len(w) <= 24 for w in words) and any(len(w) >= 3 for w in long)
 
 
+def _cued(text: str, at: int) -> bool:
+    """Whether what stands before ``at`` announces a person."""
+    before = " ".join(text[max(0, at - 40) : at].lower().rstrip("\"'( \t\u00a0\n\r").split())
+    if not before.endswith(_CUES):
+        return False
+    return any(before.endswith(c) and not before[: -len(c)][-1:].isalnum() for c in _CUES)
+
+
 def _names(text: str) -> Iterator[tuple[int, int]]:
-    for rx in (_CUED, _DOING):
-        for m in rx.finditer(text):
-            if _plausible(m["v"]):
-                yield m.span("v")
     at = 0
     while m := _ANY.search(text, at):
-        words = [w.title() for w in re.findall(r"[^\W\d_]+", m["v"])]
-        head = words[-1] if "," in m["v"] and len(words[-1]) > 1 else words[-2] if "," in m["v"] and len(words) > 2 else words[0]
-        if head in GIVEN and _plausible(m["v"]):
+        name = m["v"]
+        words = _PART.findall(name)
+        head = words[-1] if "," in name and len(words[-1]) > 1 else words[-2] if "," in name and len(words) > 2 else words[0]
+        if (head.title() in GIVEN or _cued(text, m.start()) or _AFTER.match(text, m.end())) and _plausible(words):
             yield m.span("v")
             at = m.end()
         else:  # the pair may begin with the word before a name
-            at = m.start() + 1
-            while at < m.end() and (text[at - 1].isalnum() or text[at - 1] in "’'-"):
-                at += 1
+            at = m.start() + len(words[0])
 
 
 def find_spans(text: str) -> list[tuple[int, int, str]]:
     """Non-overlapping (start, end, kind), in order; where two overlap the more certain kind stays."""
+    starts: list[int] = []
     out: list[tuple[int, int, str]] = []
 
     def offer(spans: Iterator) -> None:
-        for a, b, kind in sorted(spans, key=lambda s: (s[0], -s[1])):
-            if all(b <= x or a >= y for x, y, _ in out):
-                out.append((a, b, kind))
-
-    if "@" in text or "at" in text.lower():
-        offer((a, b, "email") for a, b in _mails(text))
+        for a, b, kind in sorted(spans, key=lambda s: (s[0], -s[1], s[2])):
+            i = bisect.bisect_left(starts, b)  # the last span that begins before this one ends
+            if i == 0 or out[i - 1][1] <= a:
+                starts.insert(i, a)
+                out.insert(i, (a, b, kind))
+
+    low = text.lower()
+    offer((a, b, "email") for a, b in _mails(text, low))
     offer(_numbers(text))
-    offer((*m.span(), "address") for rx in _ADDRESS for m in rx.finditer(text))
+    offer(_addresses(text, low))
     offer((a, b, "name") for a, b in _names(text))
-    return sorted(out)
+    return out
 
 
 def canonical(value: str, kind: str) -> str:
