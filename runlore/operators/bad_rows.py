@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 FORMATS = ("zsh", "fish", "jsonl", "csv")
 CSV_FIELDS = 6
+csv.field_size_limit(2**31 - 1)  # a long field is no fault
 
 _TS = re.compile(r"[0-9]{10}\Z")
 _DIGITS = re.compile(r"[0-9]+\Z")
