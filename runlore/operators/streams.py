@@ -11,8 +11,8 @@ from runlore.blocks import WHOLE, block_of, block_seconds, stream_id
 REST = ("command", "dir", "exit_code", "duration_ms", "session", "imported")
 
 
-def event_streams(history: DataFrame, keep: list, block_s: int | None = None) -> DataFrame:
-    """Rows ``s1, s2, block, ts, seq`` and the columns ``keep``, partitioned by (s1, s2, block).
+def event_streams(history: DataFrame, keep: list, block_s: int | None = None) -> tuple[DataFrame, int]:
+    """(events, block length): rows ``s1, s2, block, ts, seq`` and the columns ``keep``, partitioned by (s1, s2, block).
 
     ``imported`` rows are left out (a null flag counts as captured); of rows equal in every column but
     ``seq`` the one with the smallest ``seq`` stays. Equality of the remaining columns is decided on a
@@ -30,11 +30,8 @@ def event_streams(history: DataFrame, keep: list, block_s: int | None = None) ->
         F.xxhash64(*rest).alias("d1"), F.xxhash64(F.lit("second"), *reversed(rest)).alias("d2"), *keep,
     )
     kept = [c for c in slim.columns if c not in ("s1", "s2", "block", "ts", "seq", "d1", "d2")]
-    return (
-        slim.repartition("s1", "s2", "block")
-        .groupBy("s1", "s2", "block", "ts", "d1", "d2").agg(F.min("seq").alias("seq"), *[F.first(c).alias(c) for c in kept])
-        .drop("d1", "d2")
-    )
+    spread = slim.repartition("s1", "s2", "block").groupBy("s1", "s2", "block", "ts", "d1", "d2")
+    return spread.agg(F.min("seq").alias("seq"), *[F.first(c).alias(c) for c in kept]).drop("d1", "d2"), block_s
 
 
 __all__ = ["event_streams", "WHOLE"]
