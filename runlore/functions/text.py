@@ -109,7 +109,9 @@ def repo_key(repo: Column) -> Column:
 
 
 def iso(ts: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(ts), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """ISO-8601 in UTC, whatever the session's time zone."""
+    at = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(secs=ts.cast("decimal(18,6)"))
+    return F.concat(F.regexp_replace(F.substring(at.cast("string"), 1, 19), " ", "T"), F.lit("Z"))
 
 
 def relative_time(ts: Column, now: int) -> Column:

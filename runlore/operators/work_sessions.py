@@ -45,5 +45,5 @@ def session_log(history: DataFrame, idle_s: int = IDLE_S) -> DataFrame:
     summary = F.when(n == 1, first).otherwise(F.concat(first, F.lit(" (+"), (n - 1).cast("string"), F.lit(" more commands)")))
     return g.select(
         F.concat_ws("-", "device", F.col("run").cast("string")).alias("id"), summary.alias("summary"), (end - 10 * n).alias("started_at"), end.alias("ended_at"),
-        F.element_at("rows", 1)["repo"].alias("repo"), n.alias("n_commands"), commands.alias("commands"),
+        F.element_at("rows", 1)["repo"].alias("repo"), n.cast("long").alias("n_commands"), commands.alias("commands"),
     )

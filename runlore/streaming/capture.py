@@ -12,7 +12,7 @@ from runlore.operators.picks import merge_picks
 from runlore.operators.work_sessions import IDLE_S
 from runlore.sources.events import HISTORY, hidden, parse_events, write_history
 
-_OUT = "device string, started_at long, ended_at long, repo string, n_commands int, summary string, commands array<string>"
+_OUT = "device string, started_at long, ended_at long, repo string, n_commands long, summary string, commands array<string>"
 _STATE = "commands array<string>, last_ts long, repo string"
 
 
