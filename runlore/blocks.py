@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: Rows that one windowed block should hold at most.
@@ -40,6 +40,11 @@ def block_of(ts: str, seconds: int) -> Column:
     return F.floor(F.coalesce(F.col(ts), F.lit(0)) / F.lit(seconds)).cast("long")
 
 
+def _next(item: Column, n: int, w: WindowSpec) -> Column:
+    """The ``n`` values after a row, without the missing ones at the end; offsets need no growing buffer."""
+    return F.filter(F.array(*[F.lead(item, k).over(w) for k in range(1, n + 1)]), lambda x: x.isNotNull())
+
+
 def with_following(df: DataFrame, keys: list[str], order: str, n: int, fields: list[str], into: str = "following", block: int | None = None) -> DataFrame:
     """Each row with an array of structs of the ``n`` rows after it in its stream (fewer at the end).
 
@@ -48,14 +53,14 @@ def with_following(df: DataFrame, keys: list[str], order: str, n: int, fields: l
     block = block or block_seconds(df, keys, order)
     item = F.struct(*fields)
     if block >= WHOLE:  # every stream is one block: nothing crosses a border
-        return df.withColumn(into, F.collect_list(item).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(1, n)))
+        return df.withColumn(into, _next(item, n, Window.partitionBy(*keys).orderBy(order)))
     d = df.withColumn("__block", block_of(order, block))
     blk = [*keys, "__block"]
     w = Window.partitionBy(*blk).orderBy(order)
     heads = d.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).groupBy(*blk).agg(F.array_sort(F.collect_list(F.struct(order, item.alias("__item")))).alias("h"))
     after = Window.partitionBy(*keys).orderBy("__block").rowsBetween(1, n)
     tails = heads.select(*blk, F.transform(F.flatten(F.collect_list("h").over(after)), lambda r: r["__item"]).alias("__tail"))
-    d = d.withColumn("__in", F.collect_list(item).over(w.rowsBetween(1, n))).join(_null_safe(tails, blk), _on(d, tails, blk), "left")
+    d = d.withColumn("__in", _next(item, n, w)).join(_null_safe(tails, blk), _on(d, tails, blk), "left")
     return d.withColumn(into, F.slice(F.concat("__in", F.coalesce("__tail", F.expr("filter(__in, x -> false)"))), 1, n)).select(*df.columns, into)
 
 

@@ -108,6 +108,11 @@ def repo_key(repo: Column) -> Column:
     return F.when(repo.isNull() | (repo == ""), "_global").otherwise(F.when(slug(repo) == "", digest).otherwise(F.concat_ws("-", slug(repo), digest)))
 
 
+def repo_id(repo: str = "repo") -> Column:
+    """What tells histories apart within a query, without the cost of the storage key: no repository is the empty text."""
+    return F.coalesce(F.col(repo), F.lit(""))
+
+
 def iso(ts: Column) -> Column:
     """ISO-8601 in UTC, whatever the session's time zone."""
     at = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(secs=ts.cast("decimal(18,6)"))

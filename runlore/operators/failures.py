@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlore.blocks import with_following
 from runlore.functions.correction import NOT_FOUND, is_correction
-from runlore.functions.text import confidence, contains_all, iso, repo_key, think_seconds
+from runlore.functions.text import confidence, contains_all, iso, repo_id, think_seconds
+from runlore.runtime import checkpointed
 
 LOOKAHEAD, WINDOW_S = 3, 60
 
@@ -23,14 +24,14 @@ def recent_failures(history: DataFrame, limit: int = 10, repo: str | None = None
     ``retried``: the first success of the same command in the repository's history comes after the failure (with
     ``any_later``, any success does). ``limit`` is held between 1 and 50.
     """
-    h = history.withColumn("repo_key", repo_key(F.col("repo")))
+    h = history.withColumn("repo_id", repo_id())
     if repo is not None:
         h = h.where(F.col("repo") == repo)
     fields = ["command", "exit_code"]
-    f = with_following(h.select("repo_key", "seq", "command", "repo", "ts", "exit_code"), ["repo_key"], "seq", 2, fields).where(_failed())
+    f = with_following(h.select("repo_id", "seq", "command", "repo", "ts", "exit_code"), ["repo_id"], "seq", 2, fields).where(_failed())
     pick = F.max if any_later else F.min
-    good = h.where("exit_code = 0").groupBy("repo_key", "command").agg(pick("seq").alias("good"))
-    out = f.join(good, ["repo_key", "command"], "left")
+    good = h.where("exit_code = 0").groupBy("repo_id", "command").agg(pick("seq").alias("good"))
+    out = f.join(good, ["repo_id", "command"], "left")
     out = out.select("seq", "command", "repo", "ts", iso(F.col("ts")).alias("at"), "exit_code", F.transform("following", lambda r: r["command"]).alias("followed_by"), F.coalesce(F.col("good") > F.col("seq"), F.lit(False)).alias("retried"))
     return out.orderBy(F.desc("ts"), F.desc("seq")).limit(max(1, min(50, limit)))
 
@@ -43,35 +44,42 @@ def corrections_per_repo(history: DataFrame) -> DataFrame:
     typed right. The failed command succeeding unchanged ends the look-ahead. The JVM settles all but the
     last condition, so Python sees few rows.
     """
-    h = history.where("command is not null").withColumn("repo_key", repo_key(F.col("repo"))).select("repo_key", "seq", "command", "ts", "dir", "repo", "exit_code", "duration_ms", F.when(F.col("session") != "", F.col("session")).alias("session"))
-    f = with_following(h, ["repo_key"], "seq", LOOKAHEAD, ["command", "ts", "dir", "exit_code", "duration_ms", "session"]).where(_failed())
-    f = f.select("*", F.posexplode("following").alias("place", "n"))
-    late = (F.col("n.ts") >= F.col("ts")) & (think_seconds(F.col("n.ts"), F.col("n.duration_ms"), F.col("ts")) > WINDOW_S)
-    same = F.when(F.col("session").isNotNull() & F.col("n.session").isNotNull(), F.col("session") == F.col("n.session")).otherwise(F.coalesce(F.col("dir").eqNullSafe(F.col("n.dir")), F.lit(False)))
-    open_ = (F.col("n.ts") >= F.col("ts")) & ~late & same & F.coalesce(F.col("n.exit_code") == 0, F.lit(False))
-    flake = open_ & (F.col("n.command") == F.col("command"))
-    f = f.select("repo_key", "seq", "command", "ts", "repo", "exit_code", "place", F.col("n.command").alias("fix"), (late | flake).alias("ends"), (open_ & ~flake).alias("may"))
-    stop = f.where("ends").groupBy("repo_key", "seq").agg(F.min("place").alias("stop"))
+    h = history.where("command is not null").withColumn("repo_id", repo_id()).select("repo_id", "seq", "command", "ts", "dir", "repo", "exit_code", "duration_ms", F.when(F.col("session") != "", F.col("session")).alias("session"))
+    f = with_following(h, ["repo_id"], "seq", LOOKAHEAD, ["command", "ts", "dir", "exit_code", "duration_ms", "session"]).where(_failed())
+
+    def late(n: Column) -> Column:
+        return (n["ts"] >= F.col("ts")) & (think_seconds(n["ts"], n["duration_ms"], F.col("ts")) > WINDOW_S)
+
+    def open_(n: Column) -> Column:
+        known = F.col("session").isNotNull() & n["session"].isNotNull()
+        same = F.when(known, F.col("session") == n["session"]).otherwise(F.col("dir").eqNullSafe(n["dir"]))
+        return F.coalesce((n["ts"] >= F.col("ts")) & ~late(n) & same & (n["exit_code"] == 0), F.lit(False))
+
+    # where the look-ahead ends: too late, or the same command worked unchanged
+    ends = F.array_position(F.transform("following", lambda n: F.coalesce(late(n) | (open_(n) & (n["command"] == F.col("command"))), F.lit(False))), True)
     word = lambda c: F.try_element_at(F.split(F.regexp_replace(F.trim(c), r"^((sudo|doas)\s+)+", ""), r"\s+"), F.lit(1))
     # different first words can only be a correction of a program that was not found (quotes are left to Python)
-    near = (word(F.col("command")) == word(F.col("fix"))) | (F.col("exit_code") == NOT_FOUND) | F.rlike(F.concat("command", "fix"), F.lit("[\"'\\\\]"))
-    may = f.where(F.col("may") & near).join(stop, ["repo_key", "seq"], "left").where("stop is null or place < stop")
+    near = lambda n: (word(F.col("command")) == word(n["command"])) | (F.col("exit_code") == NOT_FOUND) | F.rlike(F.concat("command", n["command"]), F.lit("[\"'\\\\]"))
+    f = f.withColumn("ends", ends)
+    may = F.filter("following", lambda n, i: ((F.col("ends") == 0) | (i < F.col("ends") - 1)) & open_(n) & F.coalesce(near(n), F.lit(False)))
+    may = f.select("repo_id", "seq", "command", "ts", "repo", "exit_code", F.posexplode(F.transform(may, lambda n: n["command"])).alias("place", "fix"))
     fixed = may.where(is_correction("command", "fix", "exit_code"))
-    first = fixed.groupBy("repo_key", "seq").agg(F.min(F.struct("place", "command", "fix", "ts", "repo", "exit_code")).alias("p")).select("repo_key", "seq", "p.*")
+    first = fixed.groupBy("repo_id", "seq").agg(F.min(F.struct("place", "command", "fix", "ts", "repo", "exit_code")).alias("p")).select("repo_id", "seq", "p.*")
     newest = F.struct("ts", (-F.col("seq")).alias("back"))
-    pairs = first.groupBy("repo_key", F.col("command").alias("failed"), "fix").agg(
+    pairs = first.groupBy("repo_id", F.col("command").alias("failed"), "fix").agg(
         F.count("*").alias("occurrences"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.max_by("exit_code", newest).alias("exit_code"), F.max_by("repo", newest).alias("origin")
     )
+    pairs = checkpointed(pairs)  # few rows, read three times below
     # how often the fix itself failed afterwards: only texts that are fixes take part
-    bad = h.where(_failed()).join(pairs.select("repo_key", F.col("fix").alias("command")).distinct(), ["repo_key", "command"], "left_semi").select("repo_key", F.col("command").alias("fix"), F.col("ts").alias("bad_ts"))
-    after = pairs.select("repo_key", "failed", "fix", "last_seen").join(bad, ["repo_key", "fix"]).where("bad_ts > last_seen").groupBy("repo_key", "failed", "fix").agg(F.count("*").alias("fix_failures"))
-    return pairs.join(after, ["repo_key", "failed", "fix"], "left").withColumn("fix_failures", F.coalesce("fix_failures", F.lit(0)))
+    bad = h.where(_failed()).join(pairs.select("repo_id", F.col("fix").alias("command")).distinct(), ["repo_id", "command"], "left_semi").select("repo_id", F.col("command").alias("fix"), F.col("ts").alias("bad_ts"))
+    after = pairs.select("repo_id", "failed", "fix", "last_seen").join(bad, ["repo_id", "fix"]).where("bad_ts > last_seen").groupBy("repo_id", "failed", "fix").agg(F.count("*").alias("fix_failures"))
+    return pairs.join(after, ["repo_id", "failed", "fix"], "left").withColumn("fix_failures", F.coalesce("fix_failures", F.lit(0)))
 
 
 def corrections(history: DataFrame) -> DataFrame:
     """Corrections over all repositories, best first by occurrences, later failures, newness and text."""
     per = corrections_per_repo(history)
-    newest = F.struct("last_seen", "repo_key")
+    newest = F.struct("last_seen", "repo_id")
     merged = per.groupBy("failed", "fix").agg(
         F.sum("occurrences").alias("occurrences"), F.sum("fix_failures").alias("fix_failures"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
         F.max_by("exit_code", newest).alias("exit_code"), F.max_by("origin", newest).alias("repo"),

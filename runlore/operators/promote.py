@@ -24,22 +24,28 @@ def step_runs(history: DataFrame) -> DataFrame:
     """Commands that change something, by session and by stretch without a long pause: ``run`` and ``part``."""
     h = with_sessions(history.where("command is not null"))
     h = h.where(F.coalesce(F.col("exit_code") == 0, F.lit(True)) & (F.trim("command") != "") & ~is_inspection(F.col("command")))
-    h = h.select("repo_key", "run", "seq", "command", "ts", "duration_ms", "repo", shape(F.col("command")).alias("shape"))
+    h = h.select("repo_id", "run", "seq", "command", "ts", "duration_ms", "repo", shape(F.col("command")).alias("shape"))
     pause = lambda prev: F.greatest(think_seconds(F.col("ts"), F.col("duration_ms"), prev["ts"]), F.lit(0)) > STEP_GAP_S
-    return with_runs(checkpointed(h), ["repo_key", "run"], "seq", ["ts"], pause, into="part")
+    return with_runs(checkpointed(h), ["repo_id", "run"], "seq", ["ts"], pause, into="part")
 
 
 def sequences(history: DataFrame) -> DataFrame:
-    """Every stretch of 2 to 8 steps by shape, once per session (its latest): repo_key, shapes, run, ts, commands, repo."""
+    """Stretches of 2 to 8 steps whose shape is in enough sessions, once per session (its latest): repo_id, shapes,
+    run, ts, commands, repo."""
     lo, hi = LENGTHS
-    s = with_following(checkpointed(step_runs(history)), ["repo_key", "run", "part"], "seq", hi - 1, ["command", "ts", "repo", "shape"])
+    s = with_following(checkpointed(step_runs(history)), ["repo_id", "run", "part"], "seq", hi - 1, ["command", "ts", "repo", "shape"])
     steps = F.concat(F.array(F.struct("command", "ts", "repo", "shape")), F.col("following"))
     s = s.withColumn("steps", steps).where(F.size("steps") >= lo)
     s = s.withColumn("w", F.explode(F.transform(F.sequence(F.lit(lo), F.size("steps")), lambda n: F.slice(F.col("steps"), 1, n))))
     last = F.element_at("w", -1)
-    occ = s.select("repo_key", "run", "seq", F.transform("w", lambda x: x["shape"]).alias("shapes"), F.transform("w", lambda x: x["command"]).alias("commands"), last["ts"].alias("ts"), last["repo"].alias("repo"))
-    latest = occ.groupBy("repo_key", "shapes", "run").agg(F.max(F.struct("ts", "seq", "commands", "repo")).alias("o"))
-    return latest.select("repo_key", "shapes", "run", "o.*")
+    occ = s.select("repo_id", "run", "seq", F.transform("w", lambda x: x["shape"]).alias("shapes"), F.transform("w", lambda x: x["command"]).alias("commands"), last["ts"].alias("ts"), last["repo"].alias("repo"))
+    # nearly all shapes occur in one session only: they are told apart by hashes before any text is gathered
+    key = ["repo_id", "h1", "h2"]
+    occ = occ.withColumns({"h1": F.xxhash64("shapes"), "h2": F.xxhash64(F.lit("second"), "shapes")})
+    often = occ.select(*key, "run").distinct().groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SESSIONS)
+    occ = occ.join(often, key, "left_semi")
+    latest = occ.groupBy("repo_id", "shapes", "run").agg(F.max(F.struct("ts", "seq", "commands", "repo")).alias("o"))
+    return latest.select("repo_id", "shapes", "run", "o.*")
 
 
 def _name(text: str) -> str:
@@ -111,12 +117,12 @@ def _built(shapes: pd.Series, commands: pd.Series, slots: pd.Series) -> pd.DataF
 def candidates(history: DataFrame) -> DataFrame:
     """Sequences of three or more sessions in which at most two things vary.
 
-    Columns: repo_key, shapes, steps, variables, occurrences, first_seen, last_seen, repo. What a place took over
+    Columns: repo_id, shapes, steps, variables, occurrences, first_seen, last_seen, repo. What a place took over
     the sessions is summed up as a hash of (session, value) pairs, so equal vectors are found without gathering
     the occurrences of a sequence.
     """
     occ = checkpointed(sequences(history))  # read three times below
-    key = ["repo_key", "shapes"]
+    key = ["repo_id", "shapes"]
     newest = F.struct("ts", "seq")
     agg = occ.groupBy(*key).agg(F.count("*").alias("occurrences"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.max_by("repo", newest).alias("repo"), F.max_by("commands", newest).alias("commands"))
     agg = agg.where(F.col("occurrences") >= MIN_SESSIONS)
@@ -142,9 +148,9 @@ def closed(cands: DataFrame) -> DataFrame:
     """
     n = F.size("shapes")
     parts = F.flatten(F.transform(F.sequence(F.lit(LENGTHS[0]), n - 1), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.slice(F.col("shapes"), i, k))))
-    longer = cands.where(n > LENGTHS[0]).select("repo_key", "occurrences", F.explode(F.array_distinct(parts)).alias("shapes"))
-    top = longer.groupBy("repo_key", "shapes").agg(F.max("occurrences").alias("above"))
-    return cands.join(top, ["repo_key", "shapes"], "left").where(F.col("above").isNull() | (F.col("above") < F.col("occurrences"))).drop("above")
+    longer = cands.where(n > LENGTHS[0]).select("repo_id", "occurrences", F.explode(F.array_distinct(parts)).alias("shapes"))
+    top = longer.groupBy("repo_id", "shapes").agg(F.max("occurrences").alias("above"))
+    return cands.join(top, ["repo_id", "shapes"], "left").where(F.col("above").isNull() | (F.col("above") < F.col("occurrences"))).drop("above")
 
 
 def _dominant(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlore.blocks import with_runs
-from runlore.functions.text import repo_key, think_seconds
+from runlore.functions.text import repo_id, think_seconds
 
 IDLE_S = 300
 
@@ -25,9 +25,9 @@ def boundary(idle_s: int, by_think_time: bool = True):
 
 
 def with_sessions(history: DataFrame, idle_s: int = IDLE_S) -> DataFrame:
-    """Rows with ``repo_key`` and ``run``, the seq that opens their session in the repository's history."""
-    h = history.withColumn("repo_key", repo_key(F.col("repo"))).withColumn("session", F.when(F.col("session") != "", F.col("session")))
-    return with_runs(h, ["repo_key"], "seq", ["ts", "repo", "session"], boundary(idle_s))
+    """Rows with ``repo_id`` and ``run``, the seq that opens their session in the repository's history."""
+    h = history.withColumn("repo_id", repo_id()).withColumn("session", F.when(F.col("session") != "", F.col("session")))
+    return with_runs(h, ["repo_id"], "seq", ["ts", "repo", "session"], boundary(idle_s))
 
 
 def session_log(history: DataFrame, idle_s: int = IDLE_S) -> DataFrame:

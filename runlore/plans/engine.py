@@ -47,7 +47,8 @@ def session_search(spark: SparkSession, sf: str) -> DataFrame:
 
 def mining_sessions(spark: SparkSession, sf: str) -> DataFrame:
     s = work_sessions.with_sessions(_history(spark, sf))
-    return s.groupBy("repo_key", "run").agg(F.count("*").alias("n_commands"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    g = s.groupBy("repo_id", "run").agg(F.count("*").alias("n_commands"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return g.select(repo_key(F.col("repo_id")).alias("repo_key"), "run", "n_commands", "first_ts", "last_ts")
 
 
 def live(spark: SparkSession, sf: str) -> DataFrame:

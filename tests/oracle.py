@@ -9,7 +9,7 @@ from pathlib import Path
 
 import duckdb
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+sys.path.append(str(Path(__file__).resolve().parent.parent))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings history import_entries history_lines pick_events agent_audit runbook_steps eval_items".split()
 
 
