@@ -48,11 +48,12 @@ SESSIONS_SQL = f"""{STREAM_SQL}, seen AS (
 
 _CSV_OK = r"""^("[0-9]+"|[0-9]+),("[0-9]{10}"|[0-9]{10}),("[0-9]*"|[0-9]*),("[0-9]*"|[0-9]*),("([^"]|"")*"|[^",\r\n]*),("([^"]|"")*[^"\s]([^"]|"")*"|"([^"]|"")*""([^"]|"")*"|[^",\r\n]*[^",\s][^",\r\n]*)$"""
 
+#: DuckDB reads a comma before the closing brace; JSON has none there.
 P1_SQL = f"""WITH r AS (
   SELECT line_id, fmt, regexp_replace(raw, '\\r$', '') AS raw FROM history_lines), lines AS (
   SELECT * FROM r WHERE trim(raw, ' \t') <> ''), js AS (
   SELECT line_id, raw, json_valid(raw) AS ok, CASE WHEN json_valid(raw) THEN raw END AS j FROM lines WHERE fmt = 'jsonl'), typed AS (
-  SELECT line_id, ok AND json_type(j) = 'OBJECT' AND json_type(j, '$.command') = 'VARCHAR' AND trim(json_extract_string(j, '$.command')) <> ''
+  SELECT line_id, ok AND NOT regexp_matches(raw, ',\\s*[}}]\\s*$') AND json_type(j) = 'OBJECT' AND json_type(j, '$.command') = 'VARCHAR' AND trim(json_extract_string(j, '$.command')) <> ''
     AND json_type(j, '$.dir') = 'VARCHAR' AND json_type(j, '$.ts') IN ('BIGINT', 'UBIGINT', 'VARCHAR')
     AND regexp_full_match(json_extract_string(j, '$.ts'), '[0-9]{{10}}')
     AND coalesce(json_type(j, '$.exit_code'), 'NULL') IN ('NULL', 'BIGINT', 'UBIGINT')
