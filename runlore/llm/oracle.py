@@ -25,12 +25,14 @@ _PATTERNS = f"""WITH w AS (SELECT session, ts, seq, list_filter(regexp_split_to_
   SELECT session, [step] AS p, min(pos) AS e FROM ev GROUP BY session, step), f1 AS (SELECT DISTINCT p FROM l1), {_grow(2)}, {_grow(3)}, {_grow(4)}, {_grow(5)}, found AS (
   SELECT * FROM f3 UNION ALL SELECT * FROM f4 UNION ALL SELECT * FROM f5)"""
 
-_HELD = """WITH e AS (
-  SELECT entry_id, batch_no, device, nullif(ts, 0) AS ts, trim(regexp_replace(lower(command), '\\s+', ' ', 'g')) AS c FROM import_entries), r AS (
+#: DuckDB counts edits of bytes; with one byte for every character beyond ASCII they are edits of characters.
+_HELD = """WITH e0 AS (
+  SELECT entry_id, batch_no, device, nullif(ts, 0) AS ts, trim(regexp_replace(lower(command), '\\s+', ' ', 'g')) AS c FROM import_entries), e AS (
+  SELECT *, regexp_replace(c, '[^\\x00-\\x7f]', '?', 'g') AS a FROM e0), r0 AS (
   SELECT -1 - seq AS o, device, nullif(ts, 0) AS ts, trim(regexp_replace(lower(command), '\\s+', ' ', 'g')) AS c FROM history
-  UNION ALL SELECT entry_id, device, ts, c FROM e), near AS (
+  UNION ALL SELECT entry_id, device, ts, c FROM e), r AS (SELECT *, regexp_replace(c, '[^\\x00-\\x7f]', '?', 'g') AS a FROM r0), near AS (
   SELECT e.entry_id FROM e JOIN r ON r.device = e.device AND r.ts BETWEEN e.ts - 5 AND e.ts + 5 AND r.o < e.entry_id
-  WHERE e.c = r.c OR (length(e.c) >= 20 AND length(r.c) >= 20 AND levenshtein(e.c, r.c) <= 3)), first AS (
+  WHERE e.c = r.c OR (length(e.c) >= 20 AND length(r.c) >= 20 AND levenshtein(e.a, r.a) <= 3)), first AS (
   SELECT device, c, min(o) AS o FROM r GROUP BY device, c), held AS (
   SELECT entry_id FROM near UNION
   SELECT e.entry_id FROM e JOIN first f ON f.device = e.device AND f.c = e.c AND f.o < e.entry_id WHERE e.ts IS NULL)"""
