@@ -5,12 +5,14 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlore.operators.streams import event_streams
+from runlore.runtime import scratch
 
 GAP_S = 120
 MIN_EVENTS = 3
@@ -23,12 +25,15 @@ def same_event(command: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
-def similarity(a: str, b: str) -> float:
-    """Ratio of matching characters of two normalised commands."""
+@lru_cache(1 << 13)
+def similarity(a: str, b: str, least: float = 0.0) -> float:
+    """Ratio of matching characters of two normalised commands; 0 where lengths or characters rule out ``least``."""
     if a == b:
         return 1.0
-    m = SequenceMatcher(None, a, b, autojunk=False)
-    return m.ratio() if m.real_quick_ratio() > 0.5 else 0.0
+    n = len(a) + len(b)
+    if 2.0 * min(len(a), len(b)) / n < least or 2.0 * sum(min(a.count(c), b.count(c)) for c in set(a)) / n < least:
+        return 0.0
+    return SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
 class Runs:
@@ -57,8 +62,8 @@ class Runs:
         a, b = self.runs[i], self.runs[j]
         if b[1] - a[2] > self.gap:
             return 0.0
-        touch = similarity(a[5], b[4])
-        return min(touch, similarity(a[4], b[4])) if touch >= self.least else 0.0
+        touch = similarity(a[5], b[4], self.least)
+        return min(touch, similarity(a[4], b[4], self.least)) if touch >= self.least else 0.0
 
     def merged(self) -> list[list]:
         n = len(self.runs)
@@ -88,17 +93,24 @@ _RUN = "s1 long, s2 long, block long, first_seq long, first_ts long, last_ts lon
 
 
 def _agglomerate(gap: int, least: float):
+    """Rows of a block, cut into pieces at every place that cannot merge: no link, or touching events not alike.
+
+    The events that touch where two runs meet never change, so a piece merges as it would within its stretch.
+    Pieces at a block border go on as their runs of equal events, the others as merged runs without texts.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, begins, out = None, None, False, []
 
         def flush(ends: bool) -> None:
-            runs = held.merged()
-            for k, r in enumerate(runs):
-                out.append((*key, *r, begins and k == 0, ends and k == len(runs) - 1))
+            if begins or ends:
+                out.extend((*key, *r, begins, ends) for r in held.runs)
+            else:
+                out.extend((*key, *r[:4], None, None, False, False) for r in held.merged() if r[3] >= 2)
 
         for b in batches:
             for s1, s2, block, ts, seq, text, left, edge_l, edge_r in zip(*(c.to_pylist() for c in b.columns)):
-                if not left or key != (s1, s2, block):
+                if not left or key != (s1, s2, block) or similarity(held.runs[-1][5], text, least) < least:
                     if held is not None:
                         flush(was_edge)
                     key, held, begins = (s1, s2, block), Runs(gap, least), edge_l
@@ -114,6 +126,32 @@ def _agglomerate(gap: int, least: float):
     return run
 
 
+def _agglomerate_chains(gap: int, least: float):
+    """Pieces that go on over block borders, agglomerated as a whole: rows s1, s2, chain and a run of equal events."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out = None, None, []
+
+        def flush() -> None:
+            out.extend((*key, *r[:4], None, None, False, False) for r in held.merged() if r[3] >= 2)
+
+        for b in batches:
+            for s1, s2, chain, ts, seq, last_ts, n, text in zip(*(c.to_pylist() for c in b.columns)):
+                if key != (s1, s2, chain):
+                    if held is not None:
+                        flush()
+                    key, held = (s1, s2, chain), Runs(gap, least)
+                held.add(seq, ts, text, n, last_ts)
+            if len(out) >= 4096:
+                yield _batch(out)
+                out.clear()
+        if held is not None:
+            flush()
+        yield _batch(out)
+
+    return run
+
+
 _ARROW = pa.schema([(p.split()[0], {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[p.split()[1]]) for p in _RUN.split(", ")])
 
 
@@ -128,9 +166,10 @@ def collapse_runs(history: DataFrame, gap_s: int = GAP_S, min_similarity: float
     Only neighbours no further apart than ``gap_s`` and alike enough can ever merge, so the JVM marks those
     links and cuts a stream at every other place; only linked events go on to the agglomeration, in their
     sorted partition and without another shuffle. With ``min_similarity`` 1 the link is equality of digests
-    and all runs are maximal. Below 1, each gap-linked stretch is agglomerated. Runs that touch a block
-    border are joined to those of the next block afterwards. Null commands are never linked; an empty table
-    gives no rows; equal ``ts`` go by ``seq``.
+    and all runs are maximal; those that touch a block border are joined to those of the next block afterwards.
+    Below 1, the pieces of a stretch whose neighbours are all alike are agglomerated, each as a whole: pieces
+    that go on over block borders first come together, so the rows do not depend on the blocks. Null commands
+    are never linked; an empty table gives no rows; equal ``ts`` go by ``seq``.
     """
     text = same_event(F.col("command"))
     exact = min_similarity >= 1.0
@@ -147,26 +186,41 @@ def collapse_runs(history: DataFrame, gap_s: int = GAP_S, min_similarity: float
     # a lone event matters only where it may go on in a neighbouring block
     cand = cand.where("left or right or edge_l or edge_r").drop("right")
     runs = cand.mapInArrow(_agglomerate(gap_s, min_similarity), _RUN)
+    if not exact:  # read three times below
+        path = scratch(history.sparkSession, "runs")
+        runs.write.parquet(path)
+        runs = history.sparkSession.read.parquet(path)
+    cols = ["first_seq", "n_events", (F.col("last_ts") - F.col("first_ts")).alias("span_s")]
     inner = runs.where("not opens and not closes")
-    # a run at a border continues the last run of the block before: few rows, at most two a block
-    border = runs.where("opens or closes")
+    # a piece at a border continues the last piece of the block before: at most two a block
+    border = pieces = runs.where("opens or closes")
+    piece = [*blk, "opens", "closes"]
+    if not exact:
+        at = F.struct("first_ts", "first_seq")
+        pieces = border.groupBy(*piece).agg(
+            F.min_by("first_text", at).alias("first_text"), F.max_by("last_text", at).alias("last_text"), F.min_by("first_seq", at).alias("first_seq"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")
+        )
     by_key = Window.partitionBy("s1", "s2").orderBy("block", "first_ts", "first_seq")
-    border = border.withColumns({
+    pieces = pieces.withColumns({
         "pc": F.lag("closes").over(by_key), "pl": F.lag("last_ts").over(by_key), "pt": F.lag("last_text").over(by_key), "pb": F.lag("block").over(by_key),
     })
     alike = F.col("pt") == F.col("first_text") if exact else _alike(min_similarity)(F.col("pt"), F.col("first_text"))
     goes_on = F.col("opens") & F.col("pc") & (F.col("first_ts") - F.col("pl") <= gap_s) & (F.col("pb") < F.col("block")) & alike
-    border = border.withColumn("chain", F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = border.groupBy("s1", "s2", "chain").agg(
-        F.min_by("first_seq", F.struct("first_ts", "first_seq")).alias("first_seq"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("n_events").alias("n_events")
-    )
-    cols = ["first_seq", "n_events", (F.col("last_ts") - F.col("first_ts")).alias("span_s")]
+    pieces = pieces.withColumn("chain", F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
+    chain = ["s1", "s2", "chain"]
+    if exact:
+        joined = pieces.groupBy(*chain).agg(
+            F.min_by("first_seq", F.struct("first_ts", "first_seq")).alias("first_seq"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("n_events").alias("n_events")
+        )
+    else:
+        rows = border.join(pieces.select(*piece, "chain"), piece).select(*chain, "first_ts", "first_seq", "last_ts", "n_events", "first_text")
+        joined = rows.repartition(*chain).sortWithinPartitions(*chain, "first_ts", "first_seq").mapInArrow(_agglomerate_chains(gap_s, min_similarity), _RUN)
     return inner.select(*cols).unionAll(joined.select(*cols)).where("n_events >= 2")
 
 
 def _alike(least: float):
     @F.pandas_udf("boolean")
     def alike(a, b):  # noqa: ANN001
-        return a.combine(b, lambda x, y: x is not None and y is not None and similarity(x, y) >= least).astype(bool)
+        return a.combine(b, lambda x, y: x is not None and y is not None and similarity(x, y, least) >= least).astype(bool)
 
     return alike

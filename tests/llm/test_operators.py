@@ -62,6 +62,43 @@ def test_agglomeration_does_not_drift():
     assert [r[3] for r in q.merged()] == [2, 2]
 
 
+def brute_similar(events, gap, least):
+    """(seq, ts, text) in order: the most similar neighbours merge, one pair at a time, until none is alike."""
+    cur = [[e] for e in events]
+
+    def score(a, b):
+        if b[0][0] - a[-1][0] > gap or None in (a[-1][2], b[0][2]):
+            return 0.0
+        return min(runs.similarity(a[-1][2], b[0][2]), runs.similarity(a[0][2], b[0][2]))
+
+    while len(cur) > 1:
+        s, k = max((score(cur[k], cur[k + 1]), -k) for k in range(len(cur) - 1))
+        if s < least:
+            break
+        cur[-k : -k + 2] = [cur[-k] + cur[-k + 1]]
+    return sorted((c[0][1], len(c), c[-1][0] - c[0][0]) for c in cur if len(c) >= 2)
+
+
+def test_similar_runs_do_not_depend_on_blocks(spark):
+    row = lambda seq, ts, text, repo=None: (seq, "d", text, ts, "/", repo, 0, None, None, False, "x")
+    drift = [row(k, 10 * k, c) for k, c in enumerate(["aaaaaaaaaa", "aaaaaaaabb", "aaaaaabbbb", "aaaabbbbbb"])]
+    for block_s in (None, 20, 10):
+        got = runs.collapse_runs(spark.createDataFrame(drift, H), min_similarity=0.8, block_s=block_s).collect()
+        assert sorted(map(tuple, got)) == [(0, 2, 10), (2, 2, 10)], block_s
+    r = random.Random(21)
+    texts = ["aaaaaaaaaa", "aaaaaaaabb", "aaaaaabbbb", "aaaabbbbbb", "aaaaaaaaab", "baaaaaaaaa", "zz"]
+    rows, ts = [], 0
+    for seq in range(500):
+        ts += r.choice([1, 5, 20, 20, 60, 130])
+        rows.append(row(seq, ts, None if r.random() < 0.02 else r.choice(texts), r.choice([None, "r"])))
+    want = []
+    for repo in (None, "r"):
+        want += brute_similar([(x[3], x[0], x[2]) for x in rows if x[5] == repo], 120, 0.8)
+    for block_s in (None, 35, 400, 3000):
+        got = runs.collapse_runs(spark.createDataFrame(rows, H), min_similarity=0.8, block_s=block_s).collect()
+        assert sorted(map(tuple, got)) == sorted(want), block_s
+
+
 # ------------------------------------------------------------ 5
 def test_heavy_values_exact(spark):
     r = random.Random(4)
