@@ -23,56 +23,62 @@ _NAME = rf"(?<![A-Za-z0-9${{])(?:[A-Za-z0-9_.\-/:]*?[_.\-/:])?(?:[A-Za-z0-9]*?)(
 _VALUE = r"(?P<v>(?!\.\*)[^\s'\"`;&|<>,)}\]\\]+)"
 _QUOTED = r"(?:\\?\"(?P<q>[^\"\\\n]+)\\?\"|'(?P<s>[^'\n]+)')"
 
-#: (pattern, how sure the place is): "sure" values are secret unless they are no literal; "named" ones must not be
-#: natural words; "bare" ones must be unnatural.
-RULES: tuple[tuple[re.Pattern, str], ...] = tuple(
-    (re.compile(p, re.I), sure)
-    for p, sure in (
+#: White space in gates: all but visible ASCII, so never less than what ``\s`` of a rule matches.
+_GAP = r"[^!-~]"
+#: The words of ``_WORD``; short ones only with what may follow them in a rule.
+_WORD_GATE = (
+    r"pass|pwd|secret|credential|auth|(?:api|access|private|signing|encryption)[_-]?key"
+    rf"|(?:pw|tok(?:en)?)(?:\\?['\"]?{_GAP}{{0,3}}[=:]|{_GAP})"
+)
+
+#: (pattern, how sure the place is, gate): "sure" values are secret unless they are no literal; "named" ones must not be
+#: natural words; "bare" ones must be unnatural. The gate is a cheap pattern that every match of the rule contains.
+RULES: tuple[tuple[re.Pattern, str, str], ...] = tuple(
+    (re.compile(p, re.I), sure, gate)
+    for p, sure, gate in (
         # private keys, from their first line on
-        (r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?P<v>(?:\s|\\n)*[A-Za-z0-9+/=]{8,}(?:(?:\s|\\n)+[A-Za-z0-9+/=]{4,})*)", "sure"),
+        (r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?P<v>(?:\s|\\n)*[A-Za-z0-9+/=]{8,}(?:(?:\s|\\n)+[A-Za-z0-9+/=]{4,})*)", "sure", r"private key-----"),
         # issuers' prefixes
-        (r"(?<![A-Za-z0-9])(?P<v>(?:gh[pousr]_|github_pat_|glpat-|npm_|hf_|dop_v1_|sk-|sk_live_|rk_live_|pypi-|shpat_)[A-Za-z0-9_\-]{16,})", "bare"),
-        (r"(?<![A-Za-z0-9])(?P<v>xox[a-z]-[A-Za-z0-9\-]{10,})", "bare"),
-        (r"(?<![A-Za-z0-9])(?P<v>(?:AKIA|ASIA)[A-Z0-9]{12,})(?![A-Za-z0-9])", "bare"),
-        (r"(?<![A-Za-z0-9])(?P<v>AIza[A-Za-z0-9_\-]{20,})", "bare"),
+        (r"(?<![A-Za-z0-9])(?P<v>(?:gh[pousr]_|github_pat_|glpat-|npm_|hf_|dop_v1_|sk-|sk_live_|rk_live_|pypi-|shpat_)[A-Za-z0-9_\-]{16,})", "bare", r"gh[pousr]_|github_pat_|glpat-|npm_|hf_|dop_v1_|sk-|sk_live_|rk_live_|pypi-|shpat_"),
+        (r"(?<![A-Za-z0-9])(?P<v>xox[a-z]-[A-Za-z0-9\-]{10,})", "bare", r"xox[a-z]-"),
+        (r"(?<![A-Za-z0-9])(?P<v>(?:AKIA|ASIA)[A-Z0-9]{12,})(?![A-Za-z0-9])", "bare", r"akia|asia"),
+        (r"(?<![A-Za-z0-9])(?P<v>AIza[A-Za-z0-9_\-]{20,})", "bare", r"aiza"),
         # signed session tokens
-        (r"(?<![A-Za-z0-9])(?P<v>eyJ[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]{6,})", "sure"),
+        (r"(?<![A-Za-z0-9])(?P<v>eyJ[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]{6,})", "sure", r"eyj"),
         # addresses: user:password@host, token@host, secret hook addresses
-        (r"[a-z][a-z0-9+.\-]*://[^\s:/@'\"]*:(?P<v>(?!\d+(?:/|@))[^\s@'\"]+)@", "sure"),
-        (r"[a-z][a-z0-9+.\-]*://(?P<v>[^\s:/@'\"]{16,})@", "bare"),
-        (r"https?://[^\s'\"/]+/(?:[^\s'\"?]*/)?(?:web)?hooks?/(?:[^\s'\"?]*/)?(?P<v>[A-Za-z0-9_\-]{16,})", "bare"),
-        (r"https?://hooks?\.[^\s'\"/]+/(?:[^\s'\"?]*/)?(?P<v>[A-Za-z0-9_\-]{16,})", "bare"),
+        (r"[a-z][a-z0-9+.\-]*://[^\s:/@'\"]*:(?P<v>(?!\d+(?:/|@))[^\s@'\"]+)@", "sure", r"://[^\s'\"]*@"),
+        (r"[a-z][a-z0-9+.\-]*://(?P<v>[^\s:/@'\"]{16,})@", "bare", r"://[^\s'\"]*@"),
+        (r"https?://[^\s'\"/]+/(?:[^\s'\"?]*/)?(?:web)?hooks?/(?:[^\s'\"?]*/)?(?P<v>[A-Za-z0-9_\-]{16,})", "bare", r"hooks?[/.]"),
+        (r"https?://hooks?\.[^\s'\"/]+/(?:[^\s'\"?]*/)?(?P<v>[A-Za-z0-9_\-]{16,})", "bare", r"hooks?[/.]"),
         # headers
-        (r"authorization['\"]?\s*[:=]\s*['\"]?(?:basic|bearer|token|digest|apikey)\s+" + _VALUE, "sure"),
-        (r"\bbearer\s+(?P<v>[A-Za-z0-9_\-.=+/]{12,})", "named"),
-        (r"(?:cookie:\s*|;\s*)(?:session|sid|jwt|auth)[a-z_]*=" + _VALUE, "bare"),
+        (r"authorization['\"]?\s*[:=]\s*['\"]?(?:basic|bearer|token|digest|apikey)\s+" + _VALUE, "sure", r"auth"),
+        (r"\bbearer\s+(?P<v>[A-Za-z0-9_\-.=+/]{12,})", "named", r"bearer"),
+        (r"(?:cookie:\s*|;\s*)(?:session|sid|jwt|auth)[a-z_]*=" + _VALUE, "bare", rf"cookie|;{_GAP}*(?:session|sid|jwt|auth)"),
         # programs that take a password as an argument
-        (r"\bcurl\b[^\n|;&]*?\s(?:-u|--user)[\s=]?['\"]?[^\s:'\"]+:(?P<v>[^\s'\"]+)", "sure"),
-        (r"\bsmbclient\b[^\n|;&]*?\s-U\s*['\"]?[^\s%'\"]+%(?P<v>[^\s'\"]+)", "sure"),
-        (r"\bsshpass\s+-p\s*(?:" + _QUOTED + "|" + _VALUE + ")", "sure"),
-        (r"\b(?:docker|podman|helm)\b(?:\s+registry)?\s+login\b[^\n|;&]*?\s(?:-p|--password)[\s=]['\"]?(?P<v>[^\s'\"]+)", "sure"),
-        (r"\b(?:mysql|mysqldump|mysqladmin|mariadb)\b[^\n|;&]*?\s-p(?P<v>(?!\d+(?:\s|$))[^\s'\"\-][^\s'\"]*)", "sure"),
-        (r"\bldap(?:search|modify|add|delete|whoami)\b[^\n|;&]*?\s-w\s*['\"]?(?P<v>[^\s'\"]+)", "sure"),
-        (r"\bredis-cli\b[^\n|;&]*?\s-a\s*['\"]?(?P<v>[^\s'\"]+)", "sure"),
-        (r"\b(?:zip|7z|unzip|rar|unrar)\b[^\n|;&]*?\s-P\s*['\"]?(?P<v>[^\s'\"\-][^\s'\"]*)", "sure"),
-        (r"\bopenssl\b[^\n|;&]*?\s-k\s+['\"]?(?P<v>[^\s'\"\-][^\s'\"]*)", "sure"),
-        (r"\bhtpasswd\s+(?:-\w+\s+)*-\w*b\w*\s+(?:-\w+\s+)*\S+\s+\S+\s+['\"]?(?P<v>[^\s'\"]+)", "sure"),
-        (r"\bpass(?:in|out|word)?\s*[\s=]\s*['\"]?pass:(?P<v>[^\s'\"]+)", "sure"),
+        (r"\bcurl\b[^\n|;&]*?\s(?:-u|--user)[\s=]?['\"]?[^\s:'\"]+:(?P<v>[^\s'\"]+)", "sure", rf"curl[^\n]*{_GAP}-(?:u|-user)"),
+        (r"\bsmbclient\b[^\n|;&]*?\s-U\s*['\"]?[^\s%'\"]+%(?P<v>[^\s'\"]+)", "sure", r"smbclient"),
+        (r"\bsshpass\s+-p\s*(?:" + _QUOTED + "|" + _VALUE + ")", "sure", r"pass"),
+        (r"\b(?:docker|podman|helm)\b(?:\s+registry)?\s+login\b[^\n|;&]*?\s(?:-p|--password)[\s=]['\"]?(?P<v>[^\s'\"]+)", "sure", rf"{_GAP}login"),
+        (r"\b(?:mysql|mysqldump|mysqladmin|mariadb)\b[^\n|;&]*?\s-p(?P<v>(?!\d+(?:\s|$))[^\s'\"\-][^\s'\"]*)", "sure", r"mysql|mariadb"),
+        (r"\bldap(?:search|modify|add|delete|whoami)\b[^\n|;&]*?\s-w\s*['\"]?(?P<v>[^\s'\"]+)", "sure", r"ldap(?:search|modify|add|delete|whoami)"),
+        (r"\bredis-cli\b[^\n|;&]*?\s-a\s*['\"]?(?P<v>[^\s'\"]+)", "sure", rf"redis-cli[^\n]*{_GAP}-a"),
+        (r"\b(?:zip|7z|unzip|rar|unrar)\b[^\n|;&]*?\s-P\s*['\"]?(?P<v>[^\s'\"\-][^\s'\"]*)", "sure", rf"(?:zip|7z|rar)[^\n]*{_GAP}-p"),
+        (r"\bopenssl\b[^\n|;&]*?\s-k\s+['\"]?(?P<v>[^\s'\"\-][^\s'\"]*)", "sure", rf"openssl[^\n]*{_GAP}-k{_GAP}"),
+        (r"\bhtpasswd\s+(?:-\w+\s+)*-\w*b\w*\s+(?:-\w+\s+)*\S+\s+\S+\s+['\"]?(?P<v>[^\s'\"]+)", "sure", r"pass"),
+        (r"\bpass(?:in|out|word)?\s*[\s=]\s*['\"]?pass:(?P<v>[^\s'\"]+)", "sure", r"pass"),
         # name and value: NAME=value, name: value, "name": "value", --name value, name == value
-        (_NAME + r"\\?['\"]?\s{0,3}(?:==?|:=|:)\s{0,3}(?:" + _QUOTED + "|" + _VALUE + ")", "named"),
-        (r"(?<!\S)--?(?:[a-z0-9]+-)*?(?:" + _WORD + r")\s+(?:" + _QUOTED + "|" + _VALUE + ")", "named"),
-        (r"\bset\s+(?:-\w+\s+)*" + _NAME + r"\s+(?:" + _QUOTED + "|" + _VALUE + ")", "named"),
-        (r"(?<![A-Za-z])keys?\s{0,2}[=:]\s{0,2}(?:" + _QUOTED + "|" + _VALUE + ")", "bare"),
+        (_NAME + r"\\?['\"]?\s{0,3}(?:==?|:=|:)\s{0,3}(?:" + _QUOTED + "|" + _VALUE + ")", "named", _WORD_GATE),
+        (r"(?<!\S)--?(?:[a-z0-9]+-)*?(?:" + _WORD + r")\s+(?:" + _QUOTED + "|" + _VALUE + ")", "named", _WORD_GATE),
+        (r"\bset\s+(?:-\w+\s+)*" + _NAME + r"\s+(?:" + _QUOTED + "|" + _VALUE + ")", "named", _WORD_GATE),
+        (r"(?<![A-Za-z])keys?\s{0,2}[=:]\s{0,2}(?:" + _QUOTED + "|" + _VALUE + ")", "bare", rf"keys?{_GAP}{{0,2}}[=:]"),
         # an unnatural string that is piped into a login
-        (r"\b(?:echo|printf|print)\s+(?:-\w+\s+)?['\"]?(?P<v>[^\s'\"|]{12,})['\"]?\s*\|[^\n|]*(?:login|auth|passw|token|secret)", "bare"),
+        (r"\b(?:echo|printf|print)\s+(?:-\w+\s+)?['\"]?(?P<v>[^\s'\"|]{12,})['\"]?\s*\|[^\n|]*(?:login|auth|passw|token|secret)", "bare", r"\|[^\n|]*(?:login|auth|passw|token|secret)"),
     )
 )
 
-#: What any of the rules needs; commands without it cannot hold a secret that the rules find.
-PREFILTER = (
-    r"(?i)pass|pwd|pw['\"]?\s{0,3}[=:]|secret|tok(en)?['\"]?\s{0,3}[=:\s]|credential|auth|bearer|private.key|keys?(.id)?\\?['\"]?(\s{0,3}[=:]|\s+['\"]?\S{8})|cookie|"
-    r"://[^\s'\"]*@|hooks?[/.]|gh[pousr]_|github_pat_|glpat-|npm_|hf_|dop_v1_|sk[-_]|rk_live_|pypi-|shpat_|xox[a-z]-|akia|asia|aiza|eyj|curl.*\s(-u|--user)|smbclient|ldap\w+\s|redis-cli.*\s-a|(zip|7z|rar)\s.*-p|openssl.*\s-k\s|\slogin\s|mysql|mariadb|\|.*(login|auth)"
-)
+#: What any of the rules needs; commands without it cannot hold a secret that the rules find. Letters that are
+#: equal to i, k and s but for their case stand for themselves.
+PREFILTER = "(?i:" + "|".join(dict.fromkeys(gate for _, _, gate in RULES)) + ")|[\u0130\u0131\u017f\u212a]"
 
 _SLOT = re.compile(
     r"\$|`|%[A-Za-z_]+%\Z|<.*>?\Z|\{\{|\[|\(|[*xX.•#_\-]{3,}\Z|@|(?:your|my|the|some|example|changeme|redacted|masked|hidden|placeholder|none|null|true|false|yes|no|prompt|stdin|required|optional|todo|env|file|vault|kv)(?:\b|[_\-])",
@@ -113,7 +119,7 @@ class Finder:
 
     def spans(self, command: str) -> list[tuple[int, int]]:
         found: list[tuple[int, int]] = []
-        for rule, sure in RULES:
+        for rule, sure, _ in RULES:
             for m in rule.finditer(command):
                 for g in ("v", "q", "s"):
                     if g in rule.groupindex and m[g] is not None:
