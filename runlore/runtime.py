@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of this process's intermediate tables, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) is a local temporary folder chosen.
+    Without the setting a local temporary folder is chosen in local mode (tests) and removed at exit; on a cluster
+    its absence is an error, as a folder of one machine is lost with it.
     """
     sc = spark.sparkContext
     conf = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
@@ -20,13 +26,39 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(conf)
         return conf.rstrip("/")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="runlore-"))
+        if not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="runlore-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
     return sc.getCheckpointDir().rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):  # noqa: ANN202
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file_system(spark, path)
+    return fs.exists(at)
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path for a written intermediate table in the shared folder."""
-    return f"{shared_dir(spark)}/runlore/{what}-{uuid.uuid4().hex}"
+    """A new path for a written intermediate table in the shared folder; ``release`` removes what is there."""
+    path = f"{shared_dir(spark)}/runlore/{what}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Remove all intermediate tables of this application, once no frame that reads them is needed; how many."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        fs, at = _file_system(spark, path)
+        fs.delete(at, True)
+    return len(paths)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -35,5 +67,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` as a table in the shared folder that later passes read by column."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
