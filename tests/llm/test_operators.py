@@ -169,16 +169,40 @@ def test_batches_match_brute_force(spark):
     e = spark.createDataFrame(ent, "entry_id long, device string, command string, ts long").withColumn("cell", F.lit("clash"))
     want = brute_held(hist, ent)
     assert {x[0] for x in newness.held_entries(h, e, 3).collect()} == want
-    state = newness.Accepted(spark, 3)  # one batch after the other gives the same
-    state.add_history(h)
-    got = set()
-    for lo in range(0, 120, 40):
-        b = e.where((F.col("entry_id") >= lo) & (F.col("entry_id") < lo + 40))
-        got |= {x[0] for x in state.held(b).collect()}
-        state.add_batch(b)
-    assert got == want
+    batches = e.withColumn("batch_no", (F.col("entry_id") / 40).cast("int") + 1)
+    assert {x[0] for x in newness.replayed(h, batches, buckets=3).collect()} == want  # one batch after the other gives the same
     assert newness.held_entries(h.limit(0), e.limit(0), 2).count() == 0
-    state.drop()
+
+
+def test_state_is_opened_again_and_batches_are_stored_once(spark):
+    h = spark.createDataFrame([(0, "a", "git commit -m wip for the parser", 100)], "seq long, device string, command string, ts long")
+    e = spark.createDataFrame([(5, "a", "GIT  commit -m wip for the parsers", 103), (6, "b", "ls", None)], "entry_id long, device string, command string, ts long")
+    state = newness.Accepted(spark, buckets=3)
+    state.add_history(h)
+    state.drop()  # another session knows nothing of the tables
+    again = newness.Accepted(spark, state.path, buckets=7)
+    assert again.buckets == 3 and [x[0] for x in again.held(e).collect()] == [5]
+    for _ in range(2):
+        again.add_batch(e, 1)
+    assert [again._table(t).count() for t in ("contents", "paragraphs")] == [3, 2]
+    assert [x[0] for x in again.held(e).collect()] == [5]  # an entry is not held by itself
+
+
+def test_hot_cells_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(newness, "HOT", 3)
+    r = random.Random(8)
+    text = lambda: "kubectl delete pod worker-" + "".join(r.choice("0123456789") for _ in range(r.choice([4, 8, 8])))
+    hist = [(i, "a", text(), 100 + r.randrange(12)) for i in range(40)]
+    ent = [(i, "a", r.choice([text(), mutate(r, r.choice(hist)[2], 3)]), 100 + r.randrange(12)) for i in range(40)]
+    h, e = spark.createDataFrame(hist, "seq long, device string, command string, ts long"), spark.createDataFrame(ent, "entry_id long, device string, command string, ts long")
+    assert {x[0] for x in newness.held_entries(h, e, 2).collect()} == brute_held(hist, ent)
+
+
+def test_batches_are_never_broadcast(spark):
+    h = spark.createDataFrame([(0, "a", "ls", 100)], "seq long, device string, command string, ts long")
+    e = spark.createDataFrame([(5, "a", "ls", 103)], "entry_id long, device string, command string, ts long")
+    plan = newness.held_entries(h, e, 2)._jdf.queryExecution().toString()
+    assert "Broadcast" not in plan
 
 
 # ------------------------------------------------------------ 7
