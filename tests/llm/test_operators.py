@@ -327,7 +327,7 @@ def test_leaks_against_exhaustive_check(spark):
             q[at : at + 1] = r.choice([["zz"], [], [q[at], "zz"]])
         docs.append((d, " ".join([*filler(30), "<b>**" + ",\n> ".join(q) + "**</b>", *filler(30)])))
     D, I = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items + [(99, "!"), (98, None)], "item_id long, text string")
-    got = {(x.doc_id, x.item_id): x.n_words for x in leaks.find_leaks(D, I).collect()}
+    got = {(x.doc_id, x.item_id): x.n_words for x in leaks.find_leaks(D, I).where("is_quote").collect()}
     sp = leaks.Space(items)
     want = {}
     for d, t in docs:
@@ -348,12 +348,85 @@ def test_longest_quote(edit, want):
     assert leaks.longest_quote(item, [-1, *text, -2]) == want
 
 
-def test_latent_space_is_orthonormal(spark):
+def _tokens(spark, space, texts):
+    lists = [space.ids(t) for t in texts]
+    p = leaks._consecutive(space, lists)
+    rows = [(i, [int(x) for x in ids], None) for i, ids in enumerate(lists)] + [(None, None, [int(x) for x in leaks._distinct(space, p)] + [len(p)])]
+    return spark.createDataFrame(rows, "id long, ids array<int>, df array<long>")
+
+
+def test_latent_space_is_that_of_the_passages(spark):
     items = [(k, " ".join(f"w{(k * 7 + j) % 40}" for j in range(40))) for k in range(5)]
     space = leaks.Space(items)
-    tokens = spark.createDataFrame([(i, [int(x) for x in space.ids(leaks.words(t))]) for i, t in items], "id long, ids array<int>")
-    leaks.latent_space(space, tokens)
-    assert np.allclose(space.basis.T @ space.basis, np.eye(space.basis.shape[1]), atol=1e-8)
+    leaks.latent_space(space, _tokens(spark, space, [leaks.words(t) for _, t in items]))
+    assert np.allclose(space.basis.T @ space.basis, np.eye(space.basis.shape[1]), atol=1e-6)
+
+
+def test_products_by_blocks_and_by_rows_agree(monkeypatch):
+    r = np.random.default_rng(3)
+    space = leaks.Space([(0, " ".join(f"w{k}" for k in range(50)))])
+    lists = [r.integers(0, 53, n).clip(0, 50).astype(np.int32) for n in (0, 1, 15, 16, 17, 400)]
+    p, m = leaks._consecutive(space, lists), r.standard_normal((50, 7)).astype(np.float32)
+    space.weigh(leaks._distinct(space, p), len(p))
+    a = np.zeros((len(p), 51))
+    for i, row in enumerate(p):
+        for w in row[row >= 0]:
+            a[i, w] += space.idf[w]
+    norm = np.sqrt((a[:, :50] ** 2).sum(1) + a[:, 50] * space.idf[-1])
+    a = a[:, :50] / norm[:, None]
+    assert np.allclose(leaks._gram_times(space, p, m), a.T @ (a @ m), atol=1e-4)
+    monkeypatch.setattr(leaks, "_CELLS", 1)
+    monkeypatch.setattr(leaks, "_SOME", 64)
+    assert np.allclose(leaks._gram_times(space, p, m), a.T @ (a @ m), atol=1e-4)
+
+
+@pytest.mark.parametrize("power", [1.0, 0.0])
+def test_candidates_over_a_large_vocabulary(spark, power):
+    """Recall of the latent cosine alone, against every pair checked: 20,000 words, of which 128 dimensions hold little."""
+    r = random.Random(17)
+    vocabulary, weights = [f"w{k}" for k in range(20_000)], [1 / (k + 3) ** power for k in range(20_000)]
+    draw = lambda n: r.choices(vocabulary, weights, k=n)
+    items = [(k, " ".join(draw(80))) for k in range(120)]
+    docs = []
+    for _ in range(150):
+        n, a = r.choice([16, 17, 20]), r.randrange(60)
+        q = items[r.randrange(120)][1].split()[a : a + n]
+        for at in sorted({r.randrange(2, 6), r.randrange(12, 16)}, reverse=True):
+            q[at : at + 1] = r.choice([["zz"], [], [q[at], "zz"]])
+        docs.append(draw(60) + q + draw(60))
+    space = leaks.Space(items)
+    leaks.latent_space(space, _tokens(spark, space, docs))
+    m, true, met = leaks.Matcher(space), 0, 0
+    for d in docs:
+        ids = space.ids(d)
+        c, known = m.candidates(ids), set(ids.tolist())
+        for o, item in enumerate(m.lists):
+            if len(known.intersection(item)) >= leaks.UNBROKEN and leaks.longest_quote(item, ids.tolist()) >= leaks.MIN_WORDS:
+                true, met = true + 1, met + (o in c)
+    assert true > 90 and met >= 0.98 * true
+
+
+def test_paraphrases_need_the_answer(spark):
+    item = "the old pump in the cellar fails when nine valves open at once after a cold night so which switch must the keeper turn first answer: turn the brass switch beside the furnace door"
+    drop = lambda t, k: " ".join(w for i, w in enumerate(t.split()) if i % k)
+    filler = " ".join(f"f{k}" for k in range(40))
+    told = f"{filler} {drop(item, 7)} {filler}"
+    docs = [(0, told), (1, told.replace("brass", "steel").replace("furnace", "garden").replace("beside", "under")), (2, filler), (3, f"{filler} {item} {filler}")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {x.doc_id: (x.has_answer, x.is_quote) for x in leaks.find_leaks(d, i).collect()}
+    assert got == {0: (True, False), 3: (True, True)}
+
+
+def test_common_subsequence():
+    r = random.Random(4)
+    for _ in range(100):
+        a, b = ([r.randrange(6) for _ in range(r.randrange(12))] for _ in "ab")
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = last[j] + 1 if x == y else max(row[j], last[j + 1])
+        assert leaks.common(a, b) == row[-1]
 
 
 # ------------------------------------------------------------ 10
