@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import base64
 import bisect
 import hashlib
 import re
 from collections.abc import Iterator
+from datetime import date
+from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runlore.llm.bpe import VOCABULARY, vocabulary_path
+
+#: The kinds that are looked for by their form; dates of birth come along where they are named as such.
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 _S = r"[\s\u200b\u200c\u2060\ufeff]"
@@ -88,32 +95,47 @@ _ZONE = re.compile(r"\d(?:[ \u00a0\t.()/\-]{0,3}\d){5,}")
 _REACH = 60
 
 # -- names
-#: What stands right before a name, in lower case and single blanks; ``_AFTER``: what a person then does.
+#: What stands right before a name, in lower case and single blanks: it announces a person by itself.
 _CUES = (
-    "ask", "thanks to", "thank", "merci à", "merci a", "gracias a", "danke an", "rückfragen bitte an", "ruckfragen bitte an", "preguntas a", "signed", "signed by", "signed-off-by:", "reviewed-by:", "co-authored-by:",
+    "ask", "thanks to", "thanks", "thank", "merci à", "merci a", "gracias a", "danke an", "rückfragen bitte an", "ruckfragen bitte an", "preguntas a", "signed", "signed by", "signed-off-by:", "reviewed-by:", "co-authored-by:",
     "acked-by:", "tested-by:", "reported-by:", "reviewed by", "written by", "approved by", "reported by", "maintained by", "owned by", "prepared by", "edited by", "merged by", "assigned to", "on call:", "on call this week:",
     "owner =", "owner=", "owner:", "owner :", "author =", "author=", "author:", "author :", "maintainer =", "maintainer=", "maintainer:", "contact:", "kontakt:", "assignee =", "assignee=", "assignee:", "name =", "name=", "name:",
-    "dear", "mr.", "mrs.", "ms.", "dr.", "herr", "frau", "señor", "señora", "madame", "monsieur",
+    "dear", "mr.", "mrs.", "ms.", "dr.", "mr", "mrs", "ms", "dr", "herr", "frau", "señor", "señora", "madame", "monsieur", "my name is", "regards,", "cheers,", "sincerely,",
+)
+#: What may stand before a person and before much else: a name after it must have the form of one.
+_HINTS = frozenset(
+    """with to by from and or for told tell asked met meet meeting cc contact call called email emailed mail ping pinged engineer engineers colleague colleagues manager lead developer admin administrator operator customer
+    client user teammate intern analyst director doctor professor nurse teacher contractor candidate employee president author reviewer sir neighbour neighbor mit von und avec et por con y de""".split()
 )
+#: What a person then does; ``_MAYBE`` after a name that has the form of one.
 _AFTER = re.compile(rf"{_S}(?:said|says|found{_S}(?:that|out)|wrote|writes|asked|reported|noticed|approved|confirmed|joined|mentioned|replied|answered|suggested|agreed|pointed{_S}out|fixed|merged)\b", re.I)
+_MAYBE = re.compile(rf"{_S}(?:joins|thinks|wants|lives|knows|told|called|sent|and{_S}I)\b", re.I)
 _ANY = re.compile(rf"(?<![\w.@/\-])(?P<v>{_PERSON})(?![\w@])")
+_MORE = re.compile(rf"{_B}(?P<v>{_LAST})(?=[.,;!?)\n]|\Z)")
+#: Characters that are looked back over for a cue: more than twice the longest, so that blanks may be drawn out.
+_BACK = 48
 
-#: Given names that make a pair of capitalised words a person without further signs. Fixed values.
-GIVEN = frozenset(
-    """Adam Ahmed Aisha Alice Amara Amir Ana Andrea Anjali Anna Antoine Arjun Astrid Beatriz Bruno Carlos Carmen Chen Chiara Claire Clara Daniel David Diego Dmitri Elena Elif Emeka Emily Emma Erik
-    Farid Fatima Felix Francesca Freya George Giulia Greta Hana Hannah Hans Hiroshi Ibrahim Ingrid Isabel Ivan Jamal James Jan Javier Joaquin Johan John Jonas Jose Juan Julia Karim Keiko Kofi Kwame
-    Lars Laura Layla Leila Leonie Liam Linda Lucas Lucia Luis Lukas Maria Marie Marisol Mark Marta Martin Mary Mateo Matteo Maya Mei Michael Miguel Mohammed Nadia Nina Noah Nora Olga Oliver Olivia Omar
-    Ondrej Oskar Pablo Patricia Paul Pedro Peter Petra Pierre Priya Rafael Rahul Ravi Robert Rosa Samira Samuel Sara Sarah Sofia Sophie Sorcha Stefan Susan Sven Tariq Thomas Tobias Tomas Valentina
-    Victor Wei Wendell William Yara Yuki Yusuf Zainab Zoe""".split()
-)
-#: Words that no family or given name is, in the places where names are looked for.
+#: Words that no family or given name is, in the places where names are looked for: those of the grammar and the calendar.
 _NO_NAME = frozenset(
-    """street road avenue lane court boulevard blvd drive way place square row pier gateway harbor harbour cluster period window rack build ticket incident version release exit code
-    serial number request backups epoch invoice the a an and or of on in to for from at by it its this that these our we you they he she who what when where why how nobody somebody anybody anyone everyone
+    """the a an and or of on in to for from at by it its this that these our we you they he she who what when where why how nobody somebody anybody anyone everyone
     is are was were be been has have had will would can could may must should not no yes all any each every some both before after if then than but so
-    falcon canal elmwood grace rolling marigold service team platform search run read keep set check after during please use half most monday tuesday wednesday thursday friday saturday sunday
+    monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december
     der die das den dem le la les el los las un una une ein eine""".split()
 )
+#: Words that make a pair of capitals a group, a thing or a place.
+_GROUPS = frozenset("team teams group service services platform squad department office desk support system project cluster server street road avenue lane court window period release version".split())
+
+
+@lru_cache(4)
+def common_words(path: str) -> frozenset[str]:
+    """Words that a public vocabulary has whole and in lower case: the everyday words of its language. A capitalised
+    word that is none of them is more likely a name."""
+    out = set()
+    for line in Path(path).read_bytes().splitlines():
+        token = base64.b64decode(line.split()[0]) if line else b""
+        if len(token) > 2 and token[:1] == b" " and token[1:].isalpha() and token.islower():
+            out.add(token[1:].decode("ascii"))
+    return frozenset(out)
 
 
 class Feistel:
@@ -171,8 +193,54 @@ class Feistel:
         return "".join(out)
 
     def tag(self, text: str) -> str:
-        """A short keyed tag of a value without a number format."""
-        return hashlib.blake2b(text.encode(), key=self.key, digest_size=5).hexdigest()
+        """A keyed tag of a value without a number format; 128 bits, so different values hardly ever share one."""
+        return hashlib.blake2b(text.encode(), key=self.key, digest_size=16).hexdigest()
+
+    def number(self, x: int, size: int) -> int:
+        """A permutation of the numbers below ``size``: walked on until it falls within."""
+        places = len(str(size - 1))
+        while True:
+            x = int("".join(map(str, self.permute([int(c) for c in f"{x:0{places}d}"], 10))))
+            if x < size:
+                return x
+
+    def date(self, text: str) -> str:
+        """A date permuted among the days of two centuries, written as it was."""
+        day = date.fromordinal(_FIRST + self.number(_day(text) - _FIRST, _DAYS))
+        if text[4:5] == "-":
+            return day.isoformat()
+        sep, (one, two, _) = next(c for c in text if not c.isdigit()), re.split("[./]", text)
+        a, b = (day.day, day.month) if sep == "." or int(one) > 12 else (day.month, day.day)
+        return f"{a:0{len(one)}d}{sep}{b:0{len(two)}d}{sep}{day.year}"
+
+
+#: The days that dates of birth are permuted among: 1900 to 2099.
+_FIRST, _DAYS = date(1900, 1, 1).toordinal(), 73_049
+
+
+def _day(text: str) -> int | None:
+    """The day number of a valid date."""
+    try:
+        if text[4:5] == "-":
+            day = date.fromisoformat(text).toordinal()
+        else:
+            one, two, year = map(int, re.split("[./]", text))
+            day = (date(year, two, one) if "." in text or one > 12 else date(year, one, two)).toordinal()
+    except ValueError:
+        return None
+    return day if _FIRST <= day < _FIRST + _DAYS else None
+
+
+def _tax_check(digits: str) -> str:
+    """The last of eleven digits by ISO 7064 mod 11, 10."""
+    x = 10
+    for c in digits:
+        x = ((int(c) + x) % 10 or 10) * 2 % 11
+    return str((11 - x) % 10)
+
+
+#: Numbers with a check digit or letter: form, and the check of what stands before it. Fixed values.
+_CHECKED = ((re.compile(r"\d{11}"), _tax_check), (re.compile(r"\d{8}[A-Z]"), lambda v: "TRWAGMYFPDXBNJZSQVHLCKE"[int(v) % 23]))
 
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.+%-")
@@ -245,36 +313,65 @@ def _addresses(text: str, low: str) -> Iterator[tuple[int, int, str]]:
 _PART = re.compile(r"[^\W\d_]+")
 
 
-def _plausible(words: list[str]) -> bool:
-    if any(len(w) > 1 and w.lower() in _NO_NAME for w in words):
-        return False
-    long = [w for w in words if len(w) > 1]
-    return bool(long) and all(len(w) <= 24 for w in words) and any(len(w) >= 3 for w in long)
+def _before(text: str, at: int) -> str:
+    return " ".join(text[max(0, at - _BACK) : at].lower().rstrip("\"'( \t\u00a0\n\r").split())
 
 
-def _cued(text: str, at: int) -> bool:
-    """Whether what stands before ``at`` announces a person."""
-    before = " ".join(text[max(0, at - 40) : at].lower().rstrip("\"'( \t\u00a0\n\r").split())
-    if not before.endswith(_CUES):
-        return False
-    return any(before.endswith(c) and not before[: -len(c)][-1:].isalnum() for c in _CUES)
+def _cued(before: str) -> bool:
+    """Whether what stands before announces a person."""
+    return before.endswith(_CUES) and any(before.endswith(c) and not before[: -len(c)][-1:].isalnum() for c in _CUES)
 
 
-def _names(text: str) -> Iterator[tuple[int, int]]:
-    at = 0
+def _names(text: str, common: frozenset[str]) -> Iterator[tuple[int, int]]:
+    """A pair of capitalised words, or initials and one, that a cue announces, that does what persons do, or that
+    stands where a person may and has the form of a name: no everyday words."""
+    at, end = 0, -1
     while m := _ANY.search(text, at):
-        name = m["v"]
-        words = _PART.findall(name)
-        head = words[-1] if "," in name and len(words[-1]) > 1 else words[-2] if "," in name and len(words) > 2 else words[0]
-        if (head.title() in GIVEN or _cued(text, m.start()) or _AFTER.match(text, m.end())) and _plausible(words):
-            yield m.span("v")
-            at = m.end()
-        else:  # the pair may begin with the word before a name
-            at = m.start() + len(words[0])
-
-
-def find_spans(text: str) -> list[tuple[int, int, str]]:
-    """Non-overlapping (start, end, kind), in order; where two overlap the more certain kind stays."""
+        parts = [w for w in _PART.findall(m["v"]) if len(w) > 1]
+        low = [w.lower() for w in parts]
+        rare = [w not in common for w in low]
+        before, odd = "", sum(w in _NO_NAME for w in low)
+        ok = bool(parts) and any(len(w) > 2 for w in parts) and odd < len(parts)
+        if ok:
+            before = _before(text, m.start())
+            ok = odd == 0 or before.endswith((":", "="))  # Will and May may sign
+        if ok:
+            ok = _cued(before) or bool(_AFTER.match(text, m.end()))
+            if ok:  # a cue may also announce a group
+                ok = not any(w in _GROUPS for w in low) and (any(rare) or before.endswith((":", ".", "=", "signed")))
+            elif odd == 0 and all(rare) and len(parts) > 1 and not any(w.isupper() for w in parts):
+                joined = end >= 0 and text[end : m.start()].strip().lower() in ("and", "&", ",", "und", "et", "y")
+                ok = joined or before.rpartition(" ")[2] in _HINTS or bool(_MAYBE.match(text, m.end()))
+        if not ok:  # the pair may begin with the word before a name
+            at = m.start() + len(_PART.match(text, m.start())[0])
+            continue
+        a, end = m.span("v")
+        while (more := _MORE.match(text, end)) and all(w.lower() not in common and w.lower() not in _NO_NAME for w in _PART.findall(more["v"])) and "," not in m["v"]:
+            end = more.end()
+        yield a, end
+        at = end
+
+
+# -- dates of birth
+_BIRTH_SIGNS = ("born", "birth", "dob", "gebor", "geburt", "né", "ne", "nac")
+_BORN = re.compile(
+    rf"(?:\bborn(?:{_S}on)?|\bdate{_S}of{_S}birth|\bbirth{_S}?(?:date|day)|\bDOB|\bgeboren(?:{_S}am)?|\bGeburtsdatum|\bn[ée]e?{_S}le|\bfecha{_S}de{_S}nacimiento|\bnacid[oa]{_S}el){_S}?[:=]?{_S}?"
+    r"(?P<v>(?P<y>\d{4})-(?P<m>\d{2})-(?P<d>\d{2})|(?P<d2>\d{1,2})(?P<sep>[./])(?P<m2>\d{1,2})(?P=sep)(?P<y2>\d{4}))(?![\w]|[.\-/]\w)",
+    re.I,
+)
+
+
+def _birth_dates(text: str) -> Iterator[tuple[int, int, str]]:
+    for m in _BORN.finditer(text):
+        if _day(m["v"]) is not None:
+            yield *m.span("v"), "birth_date"
+
+
+def find_spans(text: str, common: frozenset[str]) -> list[tuple[int, int, str]]:
+    """Non-overlapping (start, end, kind), in order; where two overlap the more certain kind stays.
+
+    ``common`` are everyday words in lower case, as ``common_words`` takes them from a public vocabulary.
+    """
     starts: list[int] = []
     out: list[tuple[int, int, str]] = []
 
@@ -287,9 +384,11 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
 
     low = text.lower()
     offer((a, b, "email") for a, b in _mails(text, low))
+    if any(x in low for x in _BIRTH_SIGNS):
+        offer(_birth_dates(text))
     offer(_numbers(text))
     offer(_addresses(text, low))
-    offer((a, b, "name") for a, b in _names(text))
+    offer((a, b, "name") for a, b in _names(text, common))
     return out
 
 
@@ -312,33 +411,60 @@ def canonical(value: str, kind: str) -> str:
     return " ".join(re.findall(r"\w+", value.casefold()))
 
 
+def alias(value: str, kind: str, feistel: Feistel) -> str:
+    """What stands for a value: digits and letters permuted in place, so separators stay as they were written; equal
+    numbers in different spellings have the same ones. A number whose check digit is right keeps a right one."""
+    if kind == "birth_date":
+        return feistel.date(value)
+    v = canonical(value, kind)
+    if kind not in ("phone", "id_number"):
+        return feistel.tag(v)
+    for form, check in _CHECKED:
+        if kind == "id_number" and form.fullmatch(v) and check(v[:-1]) == v[-1]:
+            new = feistel.value(v[:-1])
+            new += check(new)
+            break
+    else:
+        new = feistel.value(v)
+    at = [i for i, c in enumerate(value) if c.isascii() and c.isalnum()]
+    if kind == "phone":  # an extension and the prefix that only dials out stay
+        n = len(re.split(r"(?i)ext|x|Durchwahl", value)[0])
+        at = [i for i in at if i < n][-len(v) :]
+    out = list(value)
+    for i, c in zip(at, new):
+        out[i] = c
+    return "".join(out)
+
+
 def replace_spans(text: str, spans: list[tuple[int, int, str]], feistel: Feistel) -> str:
     """Each span replaced by [KIND:pseudonym]; everything else is left as it is."""
     out, at = [], 0
     for a, b, kind in spans:
-        v = canonical(text[a:b], kind)
-        alias = feistel.value(v) if kind in ("phone", "id_number") else feistel.tag(v)
-        out += [text[at:a], f"[{kind.upper()}:{alias}]"]
+        out += [text[at:a], f"[{kind.upper()}:{alias(text[a:b], kind, feistel)}]"]
         at = b
     return "".join([*out, text[at:]])
 
 
-def pseudonymise(df: DataFrame, id_col: str, text_col: str, key: str = "runlore") -> DataFrame:
+def pseudonymise(df: DataFrame, id_col: str, text_col: str, key: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """Rows with personal information: id, clean (text with placeholders), kinds array<string>, n_spans.
 
-    One narrow pass over whole texts. Numbers are permuted within their format under ``key`` (give a secret of
-    your own), so equal values have equal pseudonyms in all documents; mails, names and addresses get a keyed
-    tag. Null and empty texts hold nothing; other columns and repeated ids do not matter.
+    One narrow pass over whole texts. Numbers and dates of birth are permuted within their format under ``key`` (a
+    secret of the caller's: who knows it can undo the permutation), so equal values have equal pseudonyms in all
+    documents; mails, names and addresses get a keyed tag. ``vocabulary`` is the public one whose everyday words tell
+    names from other capitals. Null and empty texts hold nothing; other columns and repeated ids do not matter.
     """
+    if not key:
+        raise ValueError("a secret key is needed")
+    path = vocabulary_path(vocabulary)
     picked = df.where(F.col(text_col) != "").select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        feistel = Feistel(key)
+        feistel, common = Feistel(key), common_words(path)
         for b in batches:
             keep, clean, kinds, counts = [], [], [], []
             for i, text in enumerate(b.column(1)):
                 text = text.as_py()
-                spans = find_spans(text)
+                spans = find_spans(text, common)
                 if spans:
                     keep.append(i)
                     clean.append(replace_spans(text, spans, feistel))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from secrets import token_hex
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,12 +80,14 @@ def p2_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p10_clean(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts with personal information, typed placeholders in its place."""
-    return pii.pseudonymise(table(spark, sf, "documents"), "doc_id", "text")
+    """Texts with personal information, typed placeholders in its place; without a key of the session's, under one
+    that nobody knows."""
+    key = spark.conf.get("spark.runlore.pii.key", None) or token_hex(32)
+    return pii.pseudonymise(table(spark, sf, "documents"), "doc_id", "text", key)
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p10_clean(spark, sf).select("doc_id", F.explode("kinds").alias("kind")).distinct()
+    return p10_clean(spark, sf).select("doc_id", F.explode("kinds").alias("kind")).where(F.col("kind").isin(*pii.KINDS)).distinct()
 
 
 def p9_leaks(spark: SparkSession, sf: str) -> DataFrame:
