@@ -4,21 +4,24 @@ from __future__ import annotations
 
 import bisect
 import sys
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlore.blocks import block_of, block_seconds
-from runlore.runtime import checkpointed
+from runlore.runtime import checkpointed, written
 
 MIN_SHARE = 0.08
 LENGTHS = (3, 5)
-#: Distinct sequences that one diagram is built from; larger partitions are mined in several diagrams.
+#: Distinct sequences that one diagram is built from. Tasks are made of about as many, never of a small rest, in
+#: which every pattern would be frequent.
 CHUNK = 20_000
+#: Pairs that a task counts before it hands them on, and candidate patterns that are counted at a time.
+PAIRS, CANDIDATES = 1 << 20, 1 << 17
 
 
 def step_of(command: Column) -> Column:
@@ -206,43 +209,41 @@ def _reduced(k: int):
     return run
 
 
-def _pairs(n_items: int):
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial weights of ordered pairs of different items."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros((n_items, n_items), np.int64)
-        for b in batches:
-            for seq, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                before: set[int] = set()
-                got: set[tuple[int, int]] = set()
-                for x in seq:
-                    got.update([(y, x) for y in before if y != x])
-                    before.add(x)
-                for y, x in got:
-                    count[y, x] += w
-        y, x = np.nonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(x, pa.int32()), pa.array(count[y, x], pa.int64())], names=["a", "b", "n"])
-
-    return run
+    count: Counter[tuple[int, int]] = Counter()
+    for b in batches:
+        for seq, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            before: set[int] = set()
+            got: set[tuple[int, int]] = set()
+            for x in seq:
+                got.update([(y, x) for y in before if y != x])
+                before.add(x)
+            for pair in got:
+                count[pair] += w
+        if len(count) > PAIRS:  # they are added up after the shuffle
+            yield _pair_rows(count)
+            count = Counter()
+    yield _pair_rows(count)
+
+
+def _pair_rows(count: Counter[tuple[int, int]]) -> pa.RecordBatch:
+    cols = list(zip(*count)) or [[], []]
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(list(count.values()), pa.int64())], names=["a", "b", "n"])
 
 
 def _candidates(share: float, depth: int):
-    """Patterns that are frequent within a chunk; one that is frequent over all is frequent in some chunk."""
-
-    def mined(weighted: list[tuple[tuple[int, ...], int]]) -> list[list[int]]:
-        d = Diagrams()
-        least = share * sum(w for _, w in weighted)
-        return [list(p) for p, _ in d.mine(d.build(weighted), depth, least)]
+    """Patterns that are frequent within a task's sequences; one that is frequent over all is frequent in some task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[tuple[int, ...], int]] = []
         for b in batches:
-            held += [(tuple(s), w) for s, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            if len(held) >= CHUNK:
-                yield pa.RecordBatch.from_arrays([pa.array(mined(held), pa.list_(pa.int32()))], names=["pattern"])
-                held = []
+            held += [(tuple(s), w) for s, w in zip(b.column("items").to_pylist(), b.column("weight").to_pylist())]
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(mined(held), pa.list_(pa.int32()))], names=["pattern"])
+            d = Diagrams()
+            least = share * sum(w for _, w in held)
+            found = [list(p) for p, _ in d.mine(d.build(held), depth, least)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["pattern"])
 
     return run
 
@@ -273,13 +274,15 @@ def _supports(patterns: list[tuple[int, ...]]):
                                 total[nxt[1]] += w
                             if nxt[0]:
                                 stack.append((nxt, p[bisect.bisect_right(p, i)]))
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(patterns)), pa.int32()), pa.array(total, pa.int64())], names=["k", "n"])
+        met = [k for k, n in enumerate(total) if n]
+        yield pa.RecordBatch.from_arrays([pa.array([list(patterns[k]) for k in met], pa.list_(pa.int32())), pa.array([total[k] for k in met], pa.int64())], names=["pattern", "n"])
 
     return run
 
 
 def weighted_sequences(rows: DataFrame, items: DataFrame, depth: int, block_s: int | None = None) -> DataFrame:
     """Distinct reduced item sequences and how many sessions have them: items, weight."""
+    # the frequent steps: at most mean steps a session / share
     ev = rows.join(F.broadcast(items), "step").select("session", "ts", "seq", "item")
     if block_s is None:
         block_s = block_seconds(ev, ["session"], "ts", 100_000)
@@ -298,13 +301,13 @@ def frequent_subsequences(history: DataFrame, share: float = MIN_SHARE, lengths:
     have no step. No sessions give no rows. Steps below the share are struck first (at most mean steps per
     session / share remain, which bounds what is sent to the executors), then those in no frequent ordered
     pair. Each session is reduced to a form of bounded length with the same short subsequences, in blocks, so
-    a session with a third of all rows is no single task. Equal sequences become one weighted row. Chunks of
-    them are mined as sequence decision diagrams; the union of the chunks' frequent patterns holds every
-    globally frequent one and is then counted exactly over all sequences.
+    a session with a third of all rows is no single task. Equal sequences become one weighted row. Tasks of about
+    ``CHUNK`` of them are mined as sequence decision diagrams; the union of the tasks' frequent patterns holds every
+    globally frequent one and is then counted exactly over all sequences, ``CANDIDATES`` patterns at a time.
     """
     spark = history.sparkSession
     least_len, most_len = lengths
-    rows = history.where("session <> ''").select("session", "ts", "seq", step_of(F.col("command")).alias("step"))
+    rows = written(history.where("session <> ''").select("session", "ts", "seq", step_of(F.col("command")).alias("step")), "steps")
     n_sessions = rows.select("session").distinct().count()
     schema = "steps array<string>, length int, support long"
     per_step = rows.where("step is not null").select("session", "step").distinct().groupBy("step").count()
@@ -314,20 +317,30 @@ def frequent_subsequences(history: DataFrame, share: float = MIN_SHARE, lengths:
         return spark.createDataFrame([], schema)
     items = spark.createDataFrame([(s, i) for i, s in enumerate(steps)], "step string, item int")
     seqs = checkpointed(weighted_sequences(rows, items, most_len, block_s))  # small, and read by every later pass
-    part = seqs.mapInArrow(_pairs(len(steps)), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    part = seqs.mapInArrow(_pairs, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     paired = sorted({x for r in part.where(F.col("n") >= least).collect() for x in (r["a"], r["b"])})
     if not paired:
         return spark.createDataFrame([], schema)
     keep = F.array(*[F.lit(x) for x in paired])
     pruned = seqs.select(F.filter("items", lambda x: F.array_contains(keep, x)).alias("items"), "weight")
-    pruned = pruned.where(F.size("items") >= 1).groupBy("items").agg(F.sum("weight").alias("weight"))
-    found = pruned.mapInArrow(_candidates(share, most_len), "pattern array<int>").distinct()
-    patterns = sorted(p for (p,) in found.where(F.size("pattern") >= least_len).collect())
-    if not patterns:
+    pruned = checkpointed(pruned.where(F.size("items") >= 1).groupBy("items").agg(F.sum("weight").alias("weight")))
+    tasks = max(1, round(pruned.count() / CHUNK))
+    spread = pruned.repartition(tasks, F.xxhash64("items"))
+    found = written(spread.mapInArrow(_candidates(share, most_len), "pattern array<int>").where(F.size("pattern") >= least_len).distinct(), "candidates")
+    blocks = -(-found.count() // CANDIDATES)
+    names = spark.createDataFrame([(i, s) for i, s in enumerate(steps)], "item int, name string")
+    counted = []
+    for k in range(blocks):  # as many as a task may hold
+        part = found.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k)
+        patterns = sorted(tuple(p) for (p,) in part.collect())
+        if patterns:
+            support = pruned.mapInArrow(_supports(patterns), "pattern array<int>, n long").groupBy("pattern").agg(F.sum("n").alias("support"))
+            counted.append(support.where(F.col("support") >= least))
+    if not counted:
         return spark.createDataFrame([], schema)
-    named = spark.createDataFrame([(k, [steps[x] for x in p], len(p)) for k, p in enumerate(patterns)], "k int, steps array<string>, length int")
-    support = pruned.mapInArrow(_supports([tuple(p) for p in patterns]), "k int, n long").groupBy("k").agg(F.sum("n").alias("support"))
-    return support.where(F.col("support") >= least).join(F.broadcast(named), "k").select("steps", "length", "support")
+    placed = reduce(DataFrame.unionAll, counted).select("pattern", "support", F.posexplode("pattern").alias("at", "item")).join(F.broadcast(names), "item")
+    named = placed.groupBy("pattern", "support").agg(F.array_sort(F.collect_list(F.struct("at", "name"))).alias("s"))
+    return named.select(F.transform("s", lambda r: r["name"]).alias("steps"), F.size("s").alias("length"), "support")
 
 
 __all__ = ["Diagrams", "frequent_subsequences", "shorten", "step_of"]

@@ -58,10 +58,31 @@ def test_near_runs_and_empty(spark):
 def test_agglomeration_does_not_drift():
     q = runs.Runs(100, 0.8)
     for i, t in enumerate(["aaaaaaaaaa", "aaaaaaaabb", "aaaaaabbbb", "aaaabbbbbb"]):
-        q.add(i, i, t)
+        q.add(i, i, t, 0.8 if i else None)
     assert [r[3] for r in q.merged()] == [2, 2]
 
 
+def test_exact_runs_go_through_the_queue_in_chunks(monkeypatch):
+    monkeypatch.setattr(runs.Runs, "CHUNK", 4)
+    q = runs.Runs(100, 1.0)
+    for i in range(11):
+        q.add(i, 10 * i, "ls", 1.0 if i else None)
+        assert len(q.runs) < 4
+    assert [r[:4] for r in q.merged()] == [[0, 0, 100, 11]]
+
+
+def test_similarity_in_python_and_in_the_jvm(spark):
+    r = random.Random(12)
+    pairs = [(a, mutate(r, a, r.randrange(6))) for a in ["make build api for the web", "a", "ls", "kubectl get pods é"] for _ in range(40)] + [("", ""), ("", "a"), ("abc", "")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for least in (0.5, 0.8, 0.95):
+        got = df.select("a", "b", runs.ratio("a", "b", least).alias("s")).collect()
+        for x in got:
+            want = 1 - edits(x.a, x.b) / max(len(x.a), len(x.b)) if x.a != x.b else 1.0
+            want = want if want >= least - 1e-9 else 0.0
+            assert abs(x.s - want) < 1e-9 and abs(runs.similarity(x.a, x.b, least) - want) < 1e-9, (x, want)
+
+
 def brute_similar(events, gap, least):
     """(seq, ts, text) in order: the most similar neighbours merge, one pair at a time, until none is alike."""
     cur = [[e] for e in events]
@@ -234,6 +255,32 @@ def test_subsequences_match_enumeration(spark):
     assert subsequences.frequent_subsequences(df.limit(0)).count() == 0
 
 
+def test_subsequences_in_many_tasks_and_blocks(spark, monkeypatch):
+    """The same rows from many small tasks, candidates counted a few at a time, pairs handed on early."""
+    from pyspark.sql import Row
+
+    r = random.Random(14)
+    rows = [Row(seq=s * 100 + k, session=f"s{s}", ts=k, command=f"{r.choice('abcde')} x") for s in range(120) for k in range(r.randint(3, 8))]
+    df = spark.createDataFrame(rows)
+    whole = sorted(map(tuple, subsequences.frequent_subsequences(df).collect()))
+    monkeypatch.setattr(subsequences, "CHUNK", 40)
+    monkeypatch.setattr(subsequences, "CANDIDATES", 9)
+    monkeypatch.setattr(subsequences, "PAIRS", 5)
+    assert sorted(map(tuple, subsequences.frequent_subsequences(df).collect())) == whole and whole
+
+
+def test_a_small_rest_is_not_mined_alone(spark, monkeypatch):
+    """2,010 sequences in tasks of 1,000: no task is left with ten, in which every pattern would be a candidate."""
+    r = random.Random(15)
+    monkeypatch.setattr(subsequences, "CHUNK", 1000)
+    seen = []
+    written = subsequences.written
+    monkeypatch.setattr(subsequences, "written", lambda df, what: (lambda t: (seen.append(t.count()) if what == "candidates" else None, t)[1])(written(df, what)))
+    rows = [(s * 100 + k, f"s{s}", k, f"{r.choice('abcdefghijklmnopqrst')} x") for s in range(2010) for k in range(20 if s >= 2000 else 9)]
+    subsequences.frequent_subsequences(spark.createDataFrame(rows, "seq long, session string, ts long, command string"), share=0.08)
+    assert seen and seen[0] < 500
+
+
 # ------------------------------------------------------------ 8
 def test_bpe_against_library_and_round_trip(spark):
     import public_tokenizers as P
