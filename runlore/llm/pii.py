@@ -353,9 +353,9 @@ def _names(text: str, common: frozenset[str]) -> Iterator[tuple[int, int]]:
 
 
 # -- dates of birth
-_BIRTH_SIGNS = ("born", "birth", "dob", "gebor", "geburt", "né", "ne", "nac")
+_BIRTH_SIGNS = ("born", "birth", "dob", "gebor", "geburt", "né", "nacimiento", "nacid")
 _BORN = re.compile(
-    rf"(?:\bborn(?:{_S}on)?|\bdate{_S}of{_S}birth|\bbirth{_S}?(?:date|day)|\bDOB|\bgeboren(?:{_S}am)?|\bGeburtsdatum|\bn[ée]e?{_S}le|\bfecha{_S}de{_S}nacimiento|\bnacid[oa]{_S}el){_S}?[:=]?{_S}?"
+    rf"(?:\bborn(?:{_S}on)?|\bdate{_S}of{_S}birth|\bbirth{_S}?(?:date|day)|\bDOB|\bgeboren(?:{_S}am)?|\bGeburtsdatum|\bnée?{_S}le|\bfecha{_S}de{_S}nacimiento|\bnacid[oa]{_S}el){_S}?[:=]?{_S}?"
     r"(?P<v>(?P<y>\d{4})-(?P<m>\d{2})-(?P<d>\d{2})|(?P<d2>\d{1,2})(?P<sep>[./])(?P<m2>\d{1,2})(?P=sep)(?P<y2>\d{4}))(?![\w]|[.\-/]\w)",
     re.I,
 )
