@@ -10,13 +10,14 @@ SHELL_VARIABLES = ("HOME", "USER", "PATH", "PWD", "OLDPWD", "SHELL", "TERM", "ED
 #: Programs, and programs with a subcommand, that only look. Fixed values.
 LOOKERS = (
     "ls", "ll", "la", "cd", "pwd", "clear", "cat", "bat", "less", "more", "head", "tail", "tree", "which", "whoami", "whereis", "type", "file", "stat", "man", "tldr", "history",
-    "echo", "printf", "exit", "logout", "df", "du", "top", "htop", "ps", "env", "printenv", "date", "uptime", "open", "code", "vim", "nvim", "vi", "nano", "emacs", "fzf", "mem",
+    "echo", "printf", "exit", "logout", "df", "du", "top", "htop", "ps", "env", "printenv", "date", "uptime", "open", "code", "vim", "nvim", "vi", "nano", "emacs", "fzf",
 )
 LOOKING_PAIRS = ("git status", "git log", "git diff", "git show", "git blame", "git remote", "docker ps", "docker images", "brew list", "npm ls", "pip list")
 #: Marks of pipes, redirections, lists and substitutions.
 GRAMMAR = r"[|><;`&]|\$\("
 HOLE, OPAQUE = "\u0000", "\u0001"
-_TOKEN = r"""(?:[^\s"']|"[^"]*"|'[^']*'|["'])+"""
+#: A token with its quotes. Fixed value.
+TOKEN = r"""(?:[^\s"']|"[^"]*"|'[^']*'|["'])+"""
 
 
 def words(text: Column) -> Column:
@@ -37,49 +38,51 @@ def contains_all(lower: Column, terms: list[str]) -> Column:
     return F.lit(False) if out is None else out
 
 
+def let(value: Column, use) -> Column:  # noqa: ANN001
+    """``use(value)`` with the value computed once a row, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
 def tokens(command: Column) -> Column:
     """Tokens with balanced quotes kept as written."""
-    return F.regexp_extract_all(command, F.lit(_TOKEN), F.lit(0))
+    return F.regexp_extract_all(command, F.lit(TOKEN), F.lit(0))
+
+
+def pieces(command: Column) -> Column:
+    """Tokens and the white space between them, in turn; joined they are the command."""
+    return F.regexp_extract_all(command, F.lit(TOKEN + r"|\s+"), F.lit(0))
 
 
 def is_flag(token: Column) -> Column:
     return (F.length(token) > 1) & F.startswith(token, F.lit("-"))
 
 
-def _bare(toks: Column) -> Column:
+def bare(toks: Column) -> Column:
     """Tokens after any leading sudo or doas."""
     first = F.array_position(F.transform(toks, lambda t: ~t.isin("sudo", "doas")), True)
     return F.when(first > 0, F.slice(toks, first.cast("int"), F.greatest(F.size(toks), F.lit(1)))).otherwise(F.slice(toks, 1, 0))
 
 
-def is_inspection(command: Column) -> Column:
-    """Whether a command only looks; anything with shell grammar does not, nothing at all does."""
-    t = _bare(tokens(command))
-    first, second = F.try_element_at(t, F.lit(1)), F.try_element_at(t, F.lit(2))
-    looks = first.isNull() | first.isin(*LOOKERS) | F.coalesce(F.concat_ws(" ", first, second).isin(*LOOKING_PAIRS) & second.isNotNull(), F.lit(False))
-    return ~F.rlike(command, F.lit(GRAMMAR)) & looks
+def is_inspection(command: Column, own: tuple[str, ...] = ()) -> Column:
+    """Whether a command only looks; anything with shell grammar does not, nothing at all does. ``own`` are further
+    programs that only look, such as the caller's."""
+
+    def looks(t: Column) -> Column:
+        first, second = F.try_element_at(t, F.lit(1)), F.try_element_at(t, F.lit(2))
+        return first.isNull() | first.isin(*LOOKERS, *own) | F.coalesce(F.concat_ws(" ", first, second).isin(*LOOKING_PAIRS) & second.isNotNull(), F.lit(False))
+
+    return ~F.rlike(command, F.lit(GRAMMAR)) & let(tokens(command), lambda t: let(bare(t), looks))
 
 
 def shape(command: Column) -> Column:
     """Tokens with what may vary replaced by holes; a command with grammar stands for itself."""
-    t = tokens(command)
-    lead = F.size(t) - F.size(_bare(t)) + 2
 
-    def entry(tok: Column, i: Column) -> Column:
+    def entry(tok: Column, i: Column, lead: Column) -> Column:
         valued = F.concat(F.substring_index(tok, "=", 1), F.lit("=" + HOLE))
         return F.when(i < lead, tok).when(is_flag(tok), F.when(F.contains(tok, F.lit("=")), valued).otherwise(tok)).otherwise(F.lit(HOLE))
 
-    return F.when(F.rlike(command, F.lit(GRAMMAR)), F.array(F.concat(F.lit(OPAQUE), command))).otherwise(F.transform(t, entry))
-
-
-def looks_like_typo(a: Column, b: Column) -> Column:
-    """Anagrams, or the shorter (by at most 2) a subsequence of the longer; equal texts are no typo."""
-    chars = lambda s: F.array_sort(F.split(s, ""))
-    longer, shorter = F.when(F.length(a) > F.length(b), a).otherwise(b), F.when(F.length(a) > F.length(b), b).otherwise(a)
-    # walk the longer once, counting how much of the shorter has been met
-    met = F.aggregate(F.split(longer, ""), F.lit(1), lambda k, c: F.when(F.substring(shorter, k, 1) == c, k + 1).otherwise(k))
-    near = (F.length(shorter) > 0) & (F.length(longer) - F.length(shorter) <= 2) & (met > F.length(shorter))
-    return (a != b) & ((chars(a) == chars(b)) | near)
+    holed = let(tokens(command), lambda t: let(F.size(t) - F.size(bare(t)) + 2, lambda lead: F.transform(t, lambda x, i: entry(x, i, lead))))
+    return F.when(F.rlike(command, F.lit(GRAMMAR)), F.array(F.concat(F.lit(OPAQUE), command))).otherwise(holed)
 
 
 def variables(command: Column) -> Column:
@@ -129,13 +132,6 @@ def signature(pattern: Column) -> Column:
     return F.regexp_replace(pattern, "<[^>]*>", "<>")
 
 
-def contains_run(longer: Column, shorter: Column) -> Column:
-    """Whether an array holds another as a contiguous stretch."""
-    last = F.size(longer) - F.size(shorter) + 1
-    hit = F.exists(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.slice(longer, i, F.greatest(F.size(shorter), F.lit(1))) == shorter)
-    return (last >= 1) & hit
-
-
 def confidence(n: Column, strong: int, moderate: int) -> Column:
     return F.when(n >= strong, "strong").when(n >= moderate, "moderate").otherwise("weak")
 

@@ -9,7 +9,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 FORMATS = ("zsh", "fish", "jsonl", "csv")
@@ -30,7 +30,7 @@ class BadRecord(ValueError):
 
 
 def assemble(lines: Iterator[str]) -> Iterator[str]:
-    """Physical lines of a CSV file joined to records: a line end inside an open quote continues the record."""
+    """Physical lines joined to records, quote-aware: a line end inside an open quote continues the record."""
     held: list[str] = []
     quotes = 0
     for line in lines:
@@ -110,20 +110,27 @@ def parse_jsonl(raw: str) -> tuple[str, int | None]:
 
 
 def parse_csv(raw: str) -> tuple[str, int | None]:
-    """Strict structure first (quotes, one record, six fields), then the typed fields."""
+    """The physical lines are assembled to one record, which strict parsing takes apart: structure (quotes, six fields)
+    first, then the typed fields."""
+    assembled = list(assemble(iter(raw.split("\n"))))
+    if len(assembled) != 1:
+        raise BadRecord("csv line end outside quotes")
+    record = assembled[0]
+    if record.count('"') % 2:
+        raise BadRecord("csv quote is not closed")
     try:
-        records = list(csv.reader(io.StringIO(raw, newline=""), strict=True))
+        records = list(csv.reader(io.StringIO(record, newline=""), strict=True))
     except csv.Error as e:
-        raise BadRecord(f"csv quoting: {e}") from e
+        raise BadRecord("csv quoting") from e
     if len(records) != 1:
-        raise BadRecord("csv quoting: line end outside quotes")
+        raise BadRecord("csv line end outside quotes")
     at = 0
     while True:  # the reader takes a quote inside an unquoted field as text; RFC 4180 does not
         at = _FIELD.match(raw, at).end()
         if at == len(raw):
             break
         if raw[at] != ",":
-            raise BadRecord("csv quoting: quote in an unquoted field")
+            raise BadRecord("csv quoting")
         at += 1
     fields = records[0]
     if len(fields) != CSV_FIELDS:
@@ -194,6 +201,44 @@ def split_records(lines: DataFrame, **kw: object) -> tuple[DataFrame, DataFrame]
     return good, parsed.where("reason is not null").select(*ident, "reason")
 
 
+#: A line that is a whole record by itself, with six typed fields.
+WHOLE_LINE = r'^("[0-9]+"|[0-9]+),("[0-9]{10}"|[0-9]{10}),("[0-9]*"|[0-9]*),("[0-9]*"|[0-9]*),("([^"]|"")*"|[^",]*),("([^"]|"")*"|[^",]+)\r?$'
+#: Lines of a file that one task joins; a file may have any number.
+LINES = 100_000
+
+
+def physical_records(lines: DataFrame, file: str = "file_name", order: str = "line_no", text: str = "text", block: int = LINES) -> DataFrame:
+    """Physical lines of csv files as records: file, first line, n_lines, raw.
+
+    A line continues the record before it while a quote is open. One damaged quote does not take the rest of the
+    file with it: a line that is a whole record by itself ends what is open before it. Whether a quote is open at a
+    line is the parity of quotes since the last such line; it is summed in blocks of lines, and each block hands
+    on its parity, so no file has to fit into one task. Null lines are empty ones.
+    """
+    d = lines.select(F.col(file).alias("f"), F.col(order).cast("long").alias("at"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    d = d.withColumns({"block": F.floor(F.col("at") / block), "whole": F.rlike("text", F.lit(WHOLE_LINE)), "q": F.length("text") - F.length(F.replace("text", F.lit('"'), F.lit("")))})
+    d = d.withColumn("q", F.when(F.col("whole"), 0).otherwise(F.col("q") % 2))
+    w = Window.partitionBy("f", "block").orderBy("at")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("sum", F.coalesce(F.sum("q").over(before), F.lit(0)))
+    d = d.withColumn("base", F.last(F.when(F.col("whole"), F.col("sum")), ignorenulls=True).over(before))
+    own = d.groupBy("f", "block").agg(F.max_by(F.when(F.col("base").isNotNull() | F.col("whole"), F.col("sum") + F.col("q") - F.when(F.col("whole"), F.col("sum")).otherwise(F.col("base"))), "at").alias("since"), F.sum("q").alias("all"))
+    over = Window.partitionBy("f").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("g", F.sum(F.col("since").isNotNull().cast("int")).over(Window.partitionBy("f").orderBy("block")))
+    within = Window.partitionBy("f", "g").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    own = own.withColumn("ends", F.sum(F.coalesce("since", "all")).over(within))
+    carry = own.select(F.col("f").alias("cf"), F.col("block").alias("cb"), F.coalesce(F.last("ends").over(over), F.lit(0)).alias("carry"))
+    d = d.join(carry, F.col("f").eqNullSafe(F.col("cf")) & (F.col("block") == F.col("cb"))).drop("cf", "cb")
+    open_ = F.coalesce(F.col("sum") - F.col("base"), F.col("sum") + F.col("carry")) % 2 == 1
+    d = d.withColumn("start", F.when(F.col("whole") | ~open_, F.col("at")))
+    d = d.withColumn("rec", F.last("start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    last = d.groupBy("f", "block").agg(F.max("start").alias("s"))
+    held = last.select(F.col("f").alias("cf"), F.col("block").alias("cb"), F.max("s").over(over).alias("held"))
+    d = d.join(held, F.col("f").eqNullSafe(F.col("cf")) & (F.col("block") == F.col("cb"))).withColumn("rec", F.coalesce("rec", "held"))
+    joined = d.groupBy("f", "rec").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("rows"))
+    return joined.select(F.col("f").alias(file), F.col("rec").alias(order), F.size("rows").cast("long").alias("n_lines"), F.array_join(F.transform("rows", lambda r: r["text"]), "\n").alias("raw"))
+
+
 def failed_lines(lines: DataFrame) -> DataFrame:
     """Per file: loaded records, failed_lines and how many fail for each reason (as a map-free long form)."""
     parsed = parse_records(lines, carry=("file_name", "fmt"))

@@ -27,24 +27,41 @@ def recent_failures(history: DataFrame, limit: int = 10, repo: str | None = None
     h = history.withColumn("repo_id", repo_id())
     if repo is not None:
         h = h.where(F.col("repo") == repo)
-    fields = ["command", "exit_code"]
-    f = with_following(h.select("repo_id", "seq", "command", "repo", "ts", "exit_code"), ["repo_id"], "seq", 2, fields).where(_failed())
+    n = max(1, min(50, limit))
+    cols = ["repo_id", "seq", "command", "repo", "ts", "exit_code"]
+    # the failures come first, at most 50; the rest of the history is only asked about these
+    top = h.where(_failed()).select(*cols).orderBy(F.desc("ts"), F.desc("seq")).limit(n)
+    rows = top.collect()
+    if not rows:
+        none = F.lit(None).cast("array<string>").alias("followed_by")
+        return top.select("seq", "command", "repo", "ts", iso(F.col("ts")).alias("at"), "exit_code", none, F.lit(False).alias("retried")).where("false")
+    f = history.sparkSession.createDataFrame(rows, top.schema)
+    wanted = F.broadcast(f.select(F.col("repo_id").alias("rid"), F.col("seq").alias("fs"), F.col("command").alias("fc")))
+    later = h.where((F.col("seq") > min(r["seq"] for r in rows)) & F.col("repo_id").isin(*{r["repo_id"] for r in rows})).select("repo_id", "seq", "command")
+    first = later.join(wanted, (F.col("repo_id") == F.col("rid")) & (F.col("seq") > F.col("fs"))).groupBy("fs").agg(F.min(F.struct("seq", "command", "repo_id")).alias("n1"))
+    first = history.sparkSession.createDataFrame(first.collect(), first.schema)  # one row a failure
+    after = F.broadcast(first.select("fs", F.col("n1.repo_id").alias("rid"), F.col("n1.seq").alias("s1")))
+    second = later.join(after, (F.col("repo_id") == F.col("rid")) & (F.col("seq") > F.col("s1"))).groupBy("fs").agg(F.min(F.struct("seq", "command")).alias("n2"))
     pick = F.max if any_later else F.min
-    good = h.where("exit_code = 0").groupBy("repo_id", "command").agg(pick("seq").alias("good"))
-    out = f.join(good, ["repo_id", "command"], "left")
-    out = out.select("seq", "command", "repo", "ts", iso(F.col("ts")).alias("at"), "exit_code", F.transform("following", lambda r: r["command"]).alias("followed_by"), F.coalesce(F.col("good") > F.col("seq"), F.lit(False)).alias("retried"))
-    return out.orderBy(F.desc("ts"), F.desc("seq")).limit(max(1, min(50, limit)))
+    good = h.where("exit_code = 0").join(wanted, (F.col("repo_id") == F.col("rid")) & (F.col("command") == F.col("fc"))).groupBy("fs").agg(pick("seq").alias("good"))
+    out = f.withColumn("fs", F.col("seq")).join(first, "fs", "left").join(second, "fs", "left").join(good, "fs", "left")
+    followed = F.transform(F.array_compact(F.array("n1.seq", "n2.seq")), lambda s: F.when(s == F.col("n1.seq"), F.col("n1.command")).otherwise(F.col("n2.command")))
+    out = out.select("seq", "command", "repo", "ts", iso(F.col("ts")).alias("at"), "exit_code", followed.alias("followed_by"), F.coalesce(F.col("good") > F.col("seq"), F.lit(False)).alias("retried"))
+    return out.orderBy(F.desc("ts"), F.desc("seq"))
 
 
-def corrections_per_repo(history: DataFrame) -> DataFrame:
-    """failed, fix pairs of each repository: occurrences, first_seen, last_seen, exit_code, origin, fix_failures.
+def _captured(history: DataFrame) -> DataFrame:
+    return history.where("command is not null").withColumn("repo_id", repo_id()).select("repo_id", "seq", "command", "ts", "dir", "repo", "exit_code", "duration_ms", F.when(F.col("session") != "", F.col("session")).alias("session"))
+
 
-    Of the three commands after a failure the first admissible one is its correction: not earlier, within 60 s
-    of thought (else the look-ahead ends), in the same terminal, successful, and plausible as the same command
-    typed right. The failed command succeeding unchanged ends the look-ahead. The JVM settles all but the
-    last condition, so Python sees few rows.
+def correction_pairs(history: DataFrame) -> DataFrame:
+    """Every failure with the commands that may be its correction: repo_id, seq, command, ts, repo, exit_code, place, fix.
+
+    They are among the three commands after it, not earlier, within 60 s of thought (else the look-ahead ends), in the
+    same terminal, successful, and of the same program unless it was not found. The failed command succeeding
+    unchanged ends the look-ahead.
     """
-    h = history.where("command is not null").withColumn("repo_id", repo_id()).select("repo_id", "seq", "command", "ts", "dir", "repo", "exit_code", "duration_ms", F.when(F.col("session") != "", F.col("session")).alias("session"))
+    h = _captured(history)
     f = with_following(h, ["repo_id"], "seq", LOOKAHEAD, ["command", "ts", "dir", "exit_code", "duration_ms", "session"]).where(_failed())
 
     def late(n: Column) -> Column:
@@ -62,7 +79,16 @@ def corrections_per_repo(history: DataFrame) -> DataFrame:
     near = lambda n: (word(F.col("command")) == word(n["command"])) | (F.col("exit_code") == NOT_FOUND) | F.rlike(F.concat("command", n["command"]), F.lit("[\"'\\\\]"))
     f = f.withColumn("ends", ends)
     may = F.filter("following", lambda n, i: ((F.col("ends") == 0) | (i < F.col("ends") - 1)) & open_(n) & F.coalesce(near(n), F.lit(False)))
-    may = f.select("repo_id", "seq", "command", "ts", "repo", "exit_code", F.posexplode(F.transform(may, lambda n: n["command"])).alias("place", "fix"))
+    return f.select("repo_id", "seq", "command", "ts", "repo", "exit_code", F.posexplode(F.transform(may, lambda n: n["command"])).alias("place", "fix"))
+
+
+def corrections_per_repo(history: DataFrame) -> DataFrame:
+    """failed, fix pairs of each repository: occurrences, first_seen, last_seen, exit_code, origin, fix_failures.
+
+    The first of a failure's ``correction_pairs`` that is plausible as the same command typed right is its correction;
+    only these few rows reach Python.
+    """
+    h, may = _captured(history), correction_pairs(history)
     fixed = may.where(is_correction("command", "fix", "exit_code"))
     first = fixed.groupBy("repo_id", "seq").agg(F.min(F.struct("place", "command", "fix", "ts", "repo", "exit_code")).alias("p")).select("repo_id", "seq", "p.*")
     newest = F.struct("ts", (-F.col("seq")).alias("back"))

@@ -5,15 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlore.functions import ranking as R
 from runlore.functions.text import contains_all
 
-#: Picks up to this many rows may be broadcast; a larger table is joined by shuffle.
-BROADCAST_PICKS = 5_000
-
 
 def _ranked(matched: DataFrame, query: str, now: int, repo: str | None, picks: DataFrame | None) -> DataFrame:
     """One row per command: its best occurrence with the score.
@@ -33,6 +30,22 @@ def _ranked(matched: DataFrame, query: str, now: int, repo: str | None, picks: D
     return best.select("command", F.col("b.ts").alias("ts"), F.col("b.repo").alias("repo"), "frequency", score.alias("score"))
 
 
+def search_many(history: DataFrame, queries: list[str], now: int, repo: str | None = None, limit: int = 10, picks: DataFrame | None = None) -> DataFrame:
+    """Several searches in one pass over the history: query, command, ts, repo, frequency, score.
+
+    The best row and the count of a command do not depend on the query, so a command that meets any of them is
+    aggregated once and offered to each it meets.
+    """
+    low = F.col("command_lc") if "command_lc" in history.columns else F.lower("command")
+    hits = history.where(reduce(lambda a, b: a | b, [contains_all(low, q.split()) for q in queries], F.lit(False)))
+    ranked = _ranked(hits, "", now, repo, picks)
+    asked = F.array_compact(F.array(*[F.when(contains_all(F.lower("command"), q.split()), F.struct(F.lit(k).alias("k"), F.lit(q).alias("query"), R.prefix_score(F.col("command"), q).alias("prefix"))) for k, q in enumerate(queries)]))
+    each = ranked.select("command", "ts", "repo", "frequency", (F.col("score") - R.W_PREFIX).alias("base"), F.explode(asked).alias("q"))
+    each = each.select("q.k", "q.query", "command", "ts", "repo", "frequency", F.round(F.col("base") + R.W_PREFIX * F.col("q.prefix"), 6).alias("score"))
+    w = Window.partitionBy("k").orderBy(F.desc("score"), F.desc("ts"), "command")
+    return each.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= limit).select("query", "command", "ts", "repo", "frequency", "score")
+
+
 def search(history: DataFrame, query: str, now: int, repo: str | None = None, limit: int = 10, picks: DataFrame | None = None) -> DataFrame:
     """Commands holding every word of the query, best first: command, ts, repo, frequency, score (6 places).
 

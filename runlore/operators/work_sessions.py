@@ -24,10 +24,10 @@ def boundary(idle_s: int, by_think_time: bool = True):
     return starts
 
 
-def with_sessions(history: DataFrame, idle_s: int = IDLE_S) -> DataFrame:
+def with_sessions(history: DataFrame, idle_s: int = IDLE_S, block: int | None = None) -> DataFrame:
     """Rows with ``repo_id`` and ``run``, the seq that opens their session in the repository's history."""
     h = history.withColumn("repo_id", repo_id()).withColumn("session", F.when(F.col("session") != "", F.col("session")))
-    return with_runs(h, ["repo_id"], "seq", ["ts", "repo", "session"], boundary(idle_s))
+    return with_runs(h, ["repo_id"], "seq", ["ts", "repo", "session"], boundary(idle_s), block=block)
 
 
 def session_log(history: DataFrame, idle_s: int = IDLE_S) -> DataFrame:

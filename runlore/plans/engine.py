@@ -54,7 +54,7 @@ def mining_sessions(spark: SparkSession, sf: str) -> DataFrame:
 def live(spark: SparkSession, sf: str) -> DataFrame:
     """The streaming sessions over the whole table as one available batch."""
     path = f"{sf}/history.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path if not path.startswith("/") else path.replace("history.parquet", "history*.parquet"))
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path[:-1] + "[t]")  # a pattern that only this table meets
     out = scratch(spark, "live-sessions")
     q = live_sessions(stream.where("command is not null")).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
     q.awaitTermination()

@@ -2,7 +2,7 @@
 
 import pytest
 
-from runlore.operators.bad_rows import assemble, failed_lines, parse_record, parse_records, split_records
+from runlore.operators.bad_rows import assemble, failed_lines, parse_record, parse_records, physical_records, split_records
 
 GOOD = [
     ("zsh", ": 1712345678:0;git push", ("git push", 1712345678)),
@@ -60,3 +60,39 @@ def test_very_long_text(spark):
     assert parse_record("csv", f'1,1712345678,,,/a,"{big}"') == (big, 1712345678, None)
     assert parse_record("csv", f"1,1712345678,,,{big},x")[2] is None
     assert parse_record("zsh", f": 1712345678:0;{big}")[0] == big
+
+
+def brute_records(lines):
+    """(first line, number of lines) of each record: a quote left open goes on until a line that is a record by itself."""
+    import re
+
+    from runlore.operators.bad_rows import WHOLE_LINE
+
+    out, is_open = [], False
+    for at, text in lines:
+        if re.match(WHOLE_LINE, text):
+            out.append([at, 1])
+            is_open = False
+            continue
+        if is_open:
+            out[-1][1] += 1
+        else:
+            out.append([at, 1])
+        is_open ^= text.count('"') % 2 == 1
+    return sorted(map(tuple, out))
+
+
+def test_a_damaged_quote_ends_at_the_next_whole_line(spark):
+    import random
+
+    r = random.Random(3)
+    pool = ["1,1712345678,0,5,/a,ls", '2,1712345678,,,/a,"echo ""x"""', '3,1712345678,,,/a,"two', 'lines"', '"', "x", "", 'a"b']
+    lines = [("f", k, r.choice(pool)) for k in range(300)] + [("g", k, t) for k, t in enumerate(['1,1712345678,,,/a,"open', pool[0], pool[1], "rest"])] + [(None, 0, None)]
+    df = spark.createDataFrame(lines, "file_name string, line_no int, text string")
+    for block in (1, 7, 1000):
+        got = physical_records(df, block=block).collect()
+        for f in ("f", "g"):
+            assert sorted((x.line_no, x.n_lines) for x in got if x.file_name == f) == brute_records([(k, t) for g, k, t in lines if g == f]), (f, block)
+        good = [parse_record("csv", x.raw) for x in got if x.file_name == "g"]
+        assert sorted(x[0] for x in good if x[2] is None) == ['echo "x"', "ls"]
+    assert physical_records(df.limit(0)).count() == 0

@@ -22,13 +22,6 @@ def history(spark, rows):
     return spark.createDataFrame(full, H)
 
 
-@pytest.mark.parametrize("a,b,want", [("psuh", "push", True), ("mian", "main", True), ("buld", "build", True), ("hostt", "host", True), ("instal", "install", True), ("push", "pull", False), ("prod-1", "prod-2", False), ("a_b", "axb", False), ("x", "x", False), ("", "a", False), ("ab", "abcde", False)])
-def test_typos_native_and_python(spark, a, b, want):
-    assert slip(a, b) is want
-    df = spark.createDataFrame([(a, b)], "a string, b string")
-    assert df.select(text.looks_like_typo(F.col("a"), F.col("b"))).first()[0] is want
-
-
 @pytest.mark.parametrize(
     "failed,fix,code,want",
     [
@@ -88,6 +81,11 @@ def test_picks(spark):
     assert [tuple(r) for r in merged] == [("a", 1.5, 21 * day)]
 
 
+@pytest.mark.parametrize("a,b,want", [("psuh", "push", True), ("mian", "main", True), ("buld", "build", True), ("hostt", "host", True), ("instal", "install", True), ("push", "pull", False), ("prod-1", "prod-2", False), ("a_b", "axb", False), ("x", "x", False), ("", "a", False), ("ab", "abcde", False)])
+def test_typos(a, b, want):
+    assert slip(a, b) is want
+
+
 def test_promote_finds_parametrised_sequence(spark):
     rows, t = [], 0
     for day, v in enumerate(("1.0", "1.1", "2.0", "2.0")):
@@ -99,7 +97,10 @@ def test_promote_finds_parametrised_sequence(spark):
     assert got[0].occurrences == 4 and got[0].saved == 12 and got[0].confidence == "moderate"
     existing = spark.createDataFrame([(got[0].steps,)], "steps array<string>")
     assert promote.promote(history(spark, rows), existing).count() == 0
-    assert promote.suggest_names([["a", "./x/deploy.sh"], ["terraform apply"], ["sudo terraform apply"], ["123"]]) == ["deploy", "terraform-apply", "terraform-apply-2", "routine-123"]
+    df = spark.createDataFrame([(0, ["a", "./x/deploy.sh"]), (1, ["terraform apply"]), (2, ["sudo terraform apply"]), (3, ["123"])], "i int, steps array<string>")
+    assert [r.name for r in promote.with_names(df, [F.col("i")]).orderBy("i").collect()] == ["deploy", "terraform-apply", "terraform-apply-2", "routine-123"]
+    taken = spark.createDataFrame([("terraform-apply-2",), ("deploy",)], "name string")
+    assert [r.name for r in promote.with_names(df, [F.col("i")], taken).orderBy("i").collect()] == ["deploy-2", "terraform-apply-3", "terraform-apply-4", "routine-123"]
 
 
 def test_inspection_and_shape(spark):
