@@ -113,12 +113,16 @@ def corrections(history: DataFrame) -> DataFrame:
     return merged.withColumn("confidence", confidence(F.col("occurrences"), 3, 2)).orderBy(F.desc("occurrences"), "fix_failures", F.desc("last_seen"), "fix", "failed")
 
 
-def fixes_for(history: DataFrame, query: str | None = None, repo: str | None = None, limit: int = 3) -> DataFrame:
-    """Corrections of the latest failure that matches the query, one of this repository before any other."""
+def latest_failure(history: DataFrame, query: str | None = None, repo: str | None = None) -> DataFrame:
+    """The newest failure that matches the query, one of this repository before any other: failed, seq; one row at most."""
     bad = history.where(_failed())
     if query:
         bad = bad.where(contains_all(F.lower("command"), query.split()))
     local = F.coalesce(F.col("repo") == F.lit(repo), F.lit(False))
-    latest = bad.orderBy(F.desc(local), F.desc("ts"), F.desc("seq")).limit(1).select(F.col("command").alias("failed"))
-    found = corrections(history).join(F.broadcast(latest), "failed", "left_semi")
+    return bad.orderBy(F.desc(local), F.desc("ts"), F.desc("seq")).limit(1).select(F.col("command").alias("failed"), "seq")
+
+
+def fixes_for(history: DataFrame, query: str | None = None, repo: str | None = None, limit: int = 3) -> DataFrame:
+    """Corrections of the latest failure that matches the query."""
+    found = corrections(history).join(F.broadcast(latest_failure(history, query, repo)), "failed", "left_semi")
     return found.orderBy(F.desc("occurrences"), "fix_failures", F.desc("last_seen"), "fix").limit(limit)

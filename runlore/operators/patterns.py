@@ -36,6 +36,11 @@ def generalised_patterns(history: DataFrame, cache: DataFrame) -> DataFrame:
     return spelt.groupBy("tool", "signature").agg(F.max_by("pattern", F.struct("n", "pattern")).alias("pattern"), F.min("ex")["command"].alias("example"), F.sum("n").alias("frequency"))
 
 
+def merge_documents(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """The stored patterns (tool, pattern, example, frequency) with those of each tool in ``new`` in place of its own."""
+    return stored.join(new.select("tool").distinct(), "tool", "left_anti").unionByName(new)
+
+
 def corrupt_pattern(command: str = "command", pattern: str = "pattern"):
     """Whether a pattern says nothing (a placeholder that names no kind) or brings in shell metacharacters."""
     empty = ["descriptive_placeholder", "placeholder", "descriptive_id", "descriptive_name", "descriptive_value", "descriptive_namespace", "descriptive_time_range", "value", "arg", "argument"]

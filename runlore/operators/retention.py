@@ -59,6 +59,11 @@ def forget_in_sessions(sessions: DataFrame, query: str) -> DataFrame:
     return sessions.withColumns({"commands": left, "summary": summary}).where(F.size("commands") > 0)
 
 
+def forget_all(stores: dict[str, DataFrame], query: str) -> dict[str, DataFrame]:
+    """Every store without the text, in one operation: rows that hold it go, sessions lose the commands that do."""
+    return {name: forget_in_sessions(df, query) if name == "sessions" else forget(df, query) for name, df in stores.items()}
+
+
 def forget_targets(stores: dict[str, DataFrame], query: str) -> DataFrame:
     """Which stores hold the text, and in how many rows: store, n_rows."""
     parts = []

@@ -66,6 +66,29 @@ def resolve(names: DataFrame, inline: DataFrame, env: DataFrame, store: DataFram
     return out.select("name", F.coalesce(*[F.col(s) for s, _ in order]).alias("value"), source.alias("source"))
 
 
+def put_variables(store: DataFrame, new: DataFrame) -> DataFrame:
+    """The variable store (scope, name, value) with values set; the new value of a name takes the old one's place."""
+    key = ["scope", "name"]
+    return store.join(new.select(*key), key, "left_anti").select(*key, "value").unionByName(new.select(*key, "value"))
+
+
+def drop_variables(store: DataFrame, gone: DataFrame) -> DataFrame:
+    """The variable store without the given names (scope, name)."""
+    return store.join(gone.select("scope", "name"), ["scope", "name"], "left_anti")
+
+
+def variable_status(declared: DataFrame, store: DataFrame) -> DataFrame:
+    """Where the value of each scope's parameters comes from: scope, name, status (own, global, default, prompt).
+
+    A value stored for the scope comes before the global one, that before a default; values are not shown.
+    """
+    d = declared.groupBy("scope", "name").agg(F.max("default_value").alias("default_value"))
+    own = store.where(F.col("scope") != GLOBAL).select("scope", "name", F.lit(True).alias("own"))
+    everywhere = store.where(F.col("scope") == GLOBAL).select("name", F.lit(True).alias("everywhere"))
+    d = d.join(own, ["scope", "name"], "left").join(everywhere, "name", "left")
+    return d.select("scope", "name", F.when(F.col("own"), "own").when(F.col("everywhere"), "global").when(F.col("default_value").isNotNull(), "default").otherwise("prompt").alias("status"))
+
+
 def rendered(steps: DataFrame, values: DataFrame) -> DataFrame:
     """Commands with parameters filled in from (name, value) and $$NAME as $NAME; unknown ones stay."""
     filled = values.agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("__m"))

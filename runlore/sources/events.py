@@ -24,7 +24,9 @@ def parse_events(lines: DataFrame) -> DataFrame:
     Lines are parsed as text, since the JSON reader drops empty arrays and explodes arrays of objects. Whole
     numbers may be written as strings. Command, ts and dir must be there, durations not negative.
     """
-    raw = lines.where(F.trim("value") != "").withColumn("r", F.from_json("value", _RAW))
+    # within brackets anything after the object makes the line unreadable; strict JSON has no single quotes
+    one = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), T.ArrayType(_RAW), {"allowSingleQuotes": "false"})
+    raw = lines.where(F.trim("value") != "").withColumn("__a", one).withColumn("r", F.when(F.size("__a") == 1, F.col("__a")[0]))
     num = lambda c, t: F.expr(f"try_cast(try_cast(r.{c} AS decimal(30,6)) AS {t})")
     whole = lambda c: F.expr(f"r.{c} IS NULL OR try_cast(r.{c} AS decimal(30,6)) = floor(try_cast(r.{c} AS decimal(30,6)))")
     out = raw.select(
@@ -60,6 +62,13 @@ def write_sessions(sessions: DataFrame, path: str, mode: str = "append") -> None
     sessions.withColumn("day", F.to_date(F.timestamp_seconds("started_at"))).write.mode(mode).partitionBy("day").json(path)
 
 
+def read_sessions(spark: SparkSession, path: str, day: str | None = None) -> DataFrame:
+    """The session log, or one UTC day of it (``YYYY-MM-DD``), for which only that day's folder is read."""
+    schema = "id string, summary string, started_at long, ended_at long, repo string, n_commands long, commands array<string>, day date"
+    log = spark.read.schema(schema).json(path)
+    return log if day is None else log.where(F.col("day") == F.lit(day).cast("date"))
+
+
 def as_json(df: DataFrame) -> DataFrame:
     """Rows as JSON text, nulls kept, for callers outside the cluster: value."""
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))

@@ -6,13 +6,13 @@ import pytest
 from oracle import compare
 
 import __spark_entry__ as e
-from runlore.plans import engine, training
+from runlore.plans import engine, stores, training
 
 SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
-@pytest.mark.parametrize("name", [*engine.QUERIES, *training.QUERIES])
+@pytest.mark.parametrize("name", [*engine.QUERIES, *stores.QUERIES, *training.QUERIES])
 def test_query(spark, name):
     ok, n, why = compare(spark, name, SF)
     assert ok is not False, why
