@@ -24,7 +24,7 @@ def _history(spark: SparkSession, sf: str) -> DataFrame:
 def search_ranked(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: ranked search with picks and context."""
     p = picks.pick_weights(table(spark, sf, "pick_events"), NOW)
-    return search.search(_history(spark, sf), "git status", NOW, REPO, 20, p).unionAll(search.search(_history(spark, sf), "docker run", NOW, REPO, 20, p))
+    return search.search_many(_history(spark, sf), ["git status", "docker run"], NOW, REPO, 20, p).drop("query")
 
 
 def search_expanded(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,9 +84,9 @@ def tool_patterns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pattern_signatures(spark: SparkSession, sf: str) -> DataFrame:
-    """Generalised patterns, with a known pattern for every command that holds a number."""
+    """Generalised patterns, with a known pattern for every command."""
     h = _history(spark, sf)
-    known = h.where(F.rlike("command", F.lit("[0-9]"))).select("command").distinct()
+    known = h.where("command is not null").select("command").distinct()
     cache = known.select(patterns.tool(F.col("command")).alias("tool"), "command", F.regexp_replace("command", "[0-9]+", "<n>").alias("pattern"))
     return patterns.generalised_patterns(h, cache)
 
@@ -230,6 +230,33 @@ _DECLARED = f"""decl AS (SELECT scope, group_name, step_no, name, max_by(coalesc
   SELECT scope, group_name, step_no, unnest({_vars_sql('cmd')}) AS name, NULL AS v, -1 AS pos FROM {_STEPS}
   UNION ALL SELECT scope, group_name, step_no, x.name, x.default_value, pos FROM (SELECT *, unnest(vars) AS x, generate_subscripts(vars, 1) AS pos FROM {_STEPS})) GROUP BY ALL)"""
 
+
+
+def _redacted_sql(col: str) -> str:
+    """The masking rules for an engine without look-ahead: what a rule must leave alone gets a mark in front of it
+    first, and a rule takes nothing that begins with the mark."""
+    word, quoted = redaction._WORD, r"\"[^\"]*\"|'[^']*'"
+    name, qualified = rf"[A-Za-z0-9_.-]*{word}", rf"[A-Za-z0-9_.-]*[_.-]{word}"
+    ref = r"[\"']*\$\$?\{?[A-Za-z_][A-Za-z0-9_]*\}?[\"']*(?:\s|$)"
+    user = r"(?:\$\$?\{?[A-Za-z_][A-Za-z0-9_]*\}?(?:@|\s|$)|\d+(?:@|\s|$))"
+    steps = [
+        (r"-----BEGIN[^-]*PRIVATE KEY-----[\s\S]*?-----END[^-]*PRIVATE KEY-----", "[REDACTED]", "g"), (r"-----BEGIN[^-]*PRIVATE KEY-----[\s\S]*", "[REDACTED]", "g"),
+        (rf"(authorization\s*:\s*(?:(?:bearer|basic|token)\s+)?)({ref})", "\\1\x02\\2", "gi"), (r"(authorization\s*:\s*)((?:bearer|basic|token)\s)", "\\1\x03\\2", "gi"),
+        ("(authorization\\s*:\\s*\x03(?:bearer|basic|token)\\s+)([^\"'\\s\x02\x03][^\"'\\s]*)", "\\1[REDACTED]", "gi"), ("(authorization\\s*:\\s*)([^\"'\\s\x02\x03][^\"'\\s]*)", "\\1[REDACTED]", "gi"), ("[\x02\x03]", "", "g"),
+        (r"\b((?:bearer|basic)\s+)([A-Za-z0-9._~+/=-]{8,})", "\\1[REDACTED]", "gi"),
+        (rf"(://[^/\s:@]+:)({user})", "\\1\x02\\2", "g"), ("(://[^/\\s:@]+:)([^/\\s@\x02][^/\\s@]*)@", "\\1[REDACTED]@", "g"), ("\x02", "", "g"),
+        (rf"((?:(?:^|\s)-u\s+|--user[= ])[^\s:]+:)({user})", "\\1\x02\\2", "gi"), ("((?:(?:^|\\s)-u\\s+|--user[= ])[^\\s:]+:)([^\\s\x02]\\S*)", "\\1[REDACTED]", "gi"), ("\x02", "", "g"),
+        (rf"\b({name}\s*=\s*)({ref})", "\\1\x02\\2", "gi"), (rf"\b({name}\s*=\s*)({quoted}|[^\s" + "\x02" + r"]\S*)", "\\1[REDACTED]", "gi"), ("\x02", "", "g"),
+        (rf"(--{name}\s+)({ref})", "\\1\x02\\2", "gi"), (rf"(--{name}\s+)({quoted}|[^-\s" + "\x02" + r"]\S*)", "\\1[REDACTED]", "gi"), ("\x02", "", "g"),
+        (rf"(^|[^\w./$-])({qualified}\s+)((?:https?://|{ref}))", "\\1\\2\x02\\3", "gi"), (rf"(^|[^\w./$-])({qualified}\s+)({quoted}|[^-/~.\s" + "\x02" + r"]\S{7,})", "\\1\\2[REDACTED]", "gi"), ("\x02", "", "g"),
+        (redaction.RULES[-2][0], "[REDACTED]", "g"), (redaction.RULES[-1][0], "[REDACTED]", "g"),
+    ]
+    out = col
+    for pattern, put, flags in steps:
+        out = "regexp_replace({}, '{}', '{}', '{}')".format(out, pattern.replace("'", "''"), put, flags)
+    return f"CASE WHEN regexp_matches({col}, '{redaction.GATE}') THEN {out} ELSE {col} END"
+
+
 ORACLE = {
     "command_variables": f"SELECT seq, array_to_string({_vars_sql('command')}, ',') AS names FROM history WHERE contains(command, '$')",
     "runbook_listing": f"""WITH v AS (SELECT scope, group_name, count(DISTINCT (step_no, cmd)) AS n_steps, list_sort(list_distinct(flatten(list({_vars_sql('cmd')})))) AS vs FROM runbook_steps GROUP BY scope, group_name)
@@ -257,7 +284,7 @@ SELECT seq, command, repo, ts, strftime(make_timestamp(ts * 1000000), '%Y-%m-%dT
 FROM f WHERE exit_code <> 0 ORDER BY ts DESC, seq DESC LIMIT 50""",
     "tool_patterns": r"""WITH p AS (SELECT regexp_extract(command, '^\s*(\S+)', 1) AS tool, command AS pattern, count(*) AS frequency FROM history WHERE regexp_matches(command, '\S') GROUP BY ALL)
 SELECT tool, pattern, pattern AS example, frequency FROM p QUALIFY sum(frequency) OVER (PARTITION BY tool) >= 5 AND row_number() OVER (PARTITION BY tool ORDER BY frequency DESC, pattern) <= 10""",
-    "pattern_signatures": r"""WITH p AS (SELECT regexp_extract(command, '^\s*(\S+)', 1) AS tool, command, regexp_replace(command, '[0-9]+', '<n>', 'g') AS pattern, count(*) AS n, min(seq) AS first FROM history WHERE regexp_matches(command, '[0-9]') GROUP BY ALL),
+    "pattern_signatures": r"""WITH p AS (SELECT regexp_extract(command, '^\s*(\S+)', 1) AS tool, command, regexp_replace(command, '[0-9]+', '<n>', 'g') AS pattern, count(*) AS n, min(seq) AS first FROM history WHERE regexp_matches(command, '\S') GROUP BY ALL),
 q AS (SELECT tool, regexp_replace(pattern, '<[^>]*>', '<>', 'g') AS signature, pattern, sum(n) AS n, min((first, command)) AS ex FROM p GROUP BY ALL)
 SELECT tool, signature, max_by(pattern, (n, pattern)) AS pattern, min(ex)[2] AS example, CAST(sum(n) AS BIGINT) AS frequency FROM q GROUP BY tool, signature""",
     "pick_weights": f"WITH {_PICKS} SELECT command, weight FROM picks",
@@ -274,6 +301,7 @@ SELECT tool, signature, max_by(pattern, (n, pattern)) AS pattern, min(ex)[2] AS
   SELECT *, row_number() OVER (PARTITION BY command, secret ORDER BY source, line_no) AS nth FROM e), s AS (SELECT command, count(*) AS have FROM history GROUP BY command), v AS (
   SELECT file_name, CASE WHEN secret THEN 'credential' WHEN nth <= coalesce(have, 0) THEN 'duplicate' ELSE 'new' END AS verdict FROM o LEFT JOIN s USING (command))
 SELECT file_name, count(*) FILTER (verdict = 'new') AS new, count(*) FILTER (verdict = 'duplicate') AS duplicate, count(*) FILTER (verdict = 'credential') AS credential FROM v GROUP BY ROLLUP (file_name)""",
+    "redacted": f"SELECT seq, masked FROM (SELECT seq, command, {_redacted_sql('command')} AS masked FROM history) WHERE command <> masked",
     "credential_rows": f"SELECT seq FROM history WHERE {_CREDENTIAL}",
     "repo_keys": f"SELECT {_REPO_KEY} AS repo_key, count(*) AS n_rows, strftime(make_timestamp(max(ts) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS last_at FROM history GROUP BY 1",
     "audit_counts": "SELECT tool, count(*) AS n_requests, count(*) FILTER (NOT ok) AS n_failed, CAST(sum(results) AS BIGINT) AS n_results FROM agent_audit GROUP BY tool",

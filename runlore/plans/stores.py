@@ -250,6 +250,13 @@ def step_sequences(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy(text.repo_key(F.when(F.col("repo_id") != "", F.col("repo_id"))).alias("repo_key"), flat.alias("steps")).agg(F.count("*").alias("n_sessions"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
 
 
+def step_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Recurring sequences in which at most two things vary, with how many do."""
+    c = promote.candidates(_history(spark, sf))
+    key = text.repo_key(F.when(F.col("repo_id") != "", F.col("repo_id")))
+    return c.select(key.alias("repo_key"), F.size("steps").cast("long").alias("n_steps"), "occurrences", F.size("variables").cast("long").alias("n_variables"), "first_seen", "last_seen")
+
+
 def correction_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return failures.correction_pairs(_history(spark, sf)).select("seq", F.col("place").cast("long").alias("place"), "fix")
 
@@ -293,7 +300,7 @@ QUERIES = {
     for f in (
         search_table, repo_history, jsonl_round_trip, session_days, session_day, shell_entries, shell_failed_lines, events_valid, owners, imported_rows, rotated_lines, rotated_sessions, forgotten_everywhere,
         forgotten_sessions, runbook_json, runbook_tables, runbook_found, runbook_edits, runbook_replaced, last_captured, variable_status, pattern_documents, pattern_hits, to_generalise, corrupt_patterns, trimmed_patterns,
-        streamed_picks, windowed_counts, audit_tail, agent_runbooks, inspections, shapes, step_sequences, correction_pairs, latest_failure, may_hold_credential, sensitive_rows, hosts, variable_names, unescaped, ages,
+        streamed_picks, windowed_counts, audit_tail, agent_runbooks, inspections, shapes, step_sequences, step_candidates, correction_pairs, latest_failure, may_hold_credential, sensitive_rows, hosts, variable_names, unescaped, ages,
     )
 }
 
@@ -317,6 +324,10 @@ _GRAMS = " UNION ALL ".join(
 _WINDOWS = ", ".join(
     f"list(shape) OVER (PARTITION BY repo_key, run, part ORDER BY seq ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) AS l_{n}, lead(ts, {n - 1}) OVER (PARTITION BY repo_key, run, part ORDER BY seq) AS ts_{n}" for n in range(2, 9)
 )
+_LISTS = ", ".join(
+    f"list(struct_pack(s := sh, c := command, q := seq)) OVER (PARTITION BY repo_key, run, part ORDER BY seq ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) AS l_{n}, lead(ts, {n - 1}) OVER (PARTITION BY repo_key, run, part ORDER BY seq) AS ts_{n}" for n in range(2, 9)
+)
+_LISTED = " UNION ALL ".join(f"SELECT repo_key, run, ts_{n} AS ts, [x.s FOR x IN l_{n}] AS shapes, [x.c FOR x IN l_{n}] AS cmds, [x.q FOR x IN l_{n}] AS seqs FROM w WHERE len(l_{n}) = {n}" for n in range(2, 9))
 _NEXT = ", ".join(f"lead(s, {n}) OVER (PARTITION BY rid ORDER BY seq) AS n{n}" for n in (1, 2, 3))
 _FLAGS = ", ".join(
     f"n{n}.ts >= ts AND n{n}.ts - n{n}.d - ts > 60 AS late{n}, coalesce(n{n}.ts >= ts AND NOT (n{n}.ts - n{n}.d - ts > 60) AND CASE WHEN ses IS NOT NULL AND n{n}.ses IS NOT NULL THEN ses = n{n}.ses ELSE dir IS NOT DISTINCT FROM n{n}.dir END AND n{n}.exit_code = 0, false) AS open{n}" for n in (1, 2, 3)
@@ -385,6 +396,15 @@ SELECT list_contains(regexp_extract_all(pattern, '<([^>]*)>', 1), 'value') OR le
   SELECT *, CASE WHEN lag(ts) OVER v IS NULL OR greatest(ts - d - lag(ts) OVER v, 0) > 900 THEN seq END AS op FROM st WINDOW v AS (PARTITION BY repo_key, run ORDER BY seq)), pt AS (
   SELECT *, max(op) OVER (PARTITION BY repo_key, run ORDER BY seq ROWS UNBOUNDED PRECEDING) AS part FROM o), w AS (SELECT repo_key, run, {_WINDOWS} FROM pt), gr AS ({_GRAMS}), l AS (SELECT repo_key, steps, run, max(ts) AS ts FROM gr GROUP BY ALL)
 SELECT repo_key, steps, count(*) AS n_sessions, min(ts) AS first_seen, max(ts) AS last_seen FROM l GROUP BY repo_key, steps HAVING count(*) >= 3""",
+    "step_candidates": f"""{_MINED}, st AS (SELECT repo_key, run, seq, ts, command, coalesce(duration_ms, 0) // 1000 AS d, {_SHAPE} AS sh FROM {_TOKENS.format('r')} WHERE coalesce(exit_code = 0, true) AND trim(command) <> '' AND NOT {_LOOKING}), o AS (
+  SELECT *, CASE WHEN lag(ts) OVER v IS NULL OR greatest(ts - d - lag(ts) OVER v, 0) > 900 THEN seq END AS op FROM st WINDOW v AS (PARTITION BY repo_key, run ORDER BY seq)), pt AS (
+  SELECT *, max(op) OVER (PARTITION BY repo_key, run ORDER BY seq ROWS UNBOUNDED PRECEDING) AS part FROM o), w AS (SELECT repo_key, run, {_LISTS} FROM pt), gr AS ({_LISTED}), l AS (
+  SELECT repo_key, shapes, run, max_by(cmds, (ts, seqs)) AS cmds, max(ts) AS ts FROM gr GROUP BY ALL), n AS (SELECT repo_key, shapes, count(*) AS occurrences, min(ts) AS first_seen, max(ts) AS last_seen FROM l GROUP BY ALL HAVING count(*) >= 3), k AS (
+  SELECT repo_key, shapes, run, cmds, unnest(range(1, len(cmds) + 1)) AS i FROM l JOIN n USING (repo_key, shapes)), y AS (
+  SELECT repo_key, shapes, run, i, shapes[i] AS e, regexp_extract_all(cmds[i], '{_T}') AS t FROM k), z AS (SELECT *, unnest(range(1, len(e) + 1)) AS j FROM y), v AS (
+  SELECT repo_key, shapes, i, j, list(CASE WHEN e[j] = '¤' THEN t[j] ELSE substr(t[j], length(e[j])) END ORDER BY run) AS vec FROM z WHERE suffix(e[j], '¤') GROUP BY ALL), p AS (
+  SELECT repo_key, shapes, count(DISTINCT vec) AS n_variables FROM v WHERE len(list_distinct(vec)) > 1 GROUP BY ALL)
+SELECT repo_key, len(shapes) AS n_steps, occurrences, coalesce(n_variables, 0) AS n_variables, first_seen, last_seen FROM n LEFT JOIN p USING (repo_key, shapes) WHERE coalesce(n_variables, 0) <= 2""",
     "correction_pairs": f"""WITH h AS (SELECT coalesce(repo, '') AS rid, seq, command, ts, dir, exit_code, nullif(session, '') AS ses, struct_pack(command := command, ts := ts, dir := dir, exit_code := exit_code, d := coalesce(duration_ms, 0) // 1000, ses := nullif(session, '')) AS s FROM history WHERE command IS NOT NULL), a AS (
   SELECT *, {_NEXT} FROM h), b AS (SELECT *, {_FLAGS} FROM a WHERE exit_code <> 0), e AS (SELECT *, CASE {_ENDS} ELSE 4 END AS ends FROM b), f AS ({_FIX})
 SELECT seq, row_number() OVER (PARTITION BY seq ORDER BY n) - 1 AS place, fix FROM f WHERE coalesce({_HEAD.format('command')} = {_HEAD.format('fix')} OR exit_code = 127 OR regexp_matches(command || fix, '["''\\\\]'), false)""",
