@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from runlore.functions import ranking as R
 from runlore.functions.text import contains_all
+from runlore.runtime import checkpointed
 
 
 def _ranked(matched: DataFrame, query: str, now: int, repo: str | None, picks: DataFrame | None) -> DataFrame:
@@ -102,17 +103,17 @@ def search_expanded(
     if not groups:
         return search(history, "", now, repo, limit)
     credits = [f"c{i}" for i in range(len(groups))]
-    distinct = history.where("command is not null").select("command").distinct()
-    cand = distinct.select("command", *[g.credit(F.col("command")).alias(c) for g, c in zip(groups, credits)])
-    cand = cand.where(reduce(lambda a, b: a | b, [F.col(c) == R.EXPANDED_CREDIT for c in credits]))
+    meant = reduce(lambda a, b: a | b, [g.credit(F.col("command")) == R.EXPANDED_CREDIT for g in groups])
+    # one scan: what a synonym meets becomes one row a command, and everything else is worked out on these
+    ranked = checkpointed(_ranked(history.where(meant), query, now, repo, picks))
+    cand = ranked.withColumns({c: g.credit(F.col("command")) for g, c in zip(groups, credits)})
     df = cand.agg(F.count("*").alias("n"), *[F.count(F.when(F.col(c) > 0, 1)).alias(f"d{c}") for c in credits])
     weights = df.select(*[R.idf(F.col(f"d{c}"), F.col("n")).alias(f"w{c}") for c in credits])  # one row
     total = reduce(lambda a, b: a + b, [F.col(f"w{c}") for c in credits])
     mean = reduce(lambda a, b: a + b, [F.col(c) for c in credits]) / len(credits)
     cover = F.when(total > 0, reduce(lambda a, b: a + b, [F.col(c) * F.col(f"w{c}") for c in credits]) / total).otherwise(mean)
-    covered = cand.withColumn("one", F.lit(1)).join(F.broadcast(weights.withColumn("one", F.lit(1))), "one").select("command", cover.alias("coverage"))
-    ranked = _ranked(history.join(covered.select("command"), "command", "left_semi"), query, now, repo, picks).join(covered, "command")
-    scored = ranked.withColumn("score", F.round(F.col("score") * F.col("coverage"), 6))
+    covered = cand.withColumn("one", F.lit(1)).join(F.broadcast(weights.withColumn("one", F.lit(1))), "one").withColumn("coverage", cover)
+    scored = covered.withColumn("score", F.round(F.col("score") * F.col("coverage"), 6))
     return scored.select("command", "ts", "repo", "frequency", "score").orderBy(F.desc("score"), F.desc("ts"), "command").limit(limit)
 
 
