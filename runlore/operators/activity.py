@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlore.operators.streams import WHOLE, event_streams
+from runlore.runtime import written
 
 GAP_S = 300
 
@@ -58,6 +59,7 @@ def pair_sessions(events: DataFrame, gap_s: int = GAP_S, one_block: bool = False
     flags = pos.where("is_start or is_end").select(*blk, "ts", "seq", (F.col("pos") + F.col("offset")).alias("pos"), "is_start", "is_end")
     so_far = in_block.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     flags = flags.withColumns({"rs": F.sum(F.col("is_start").cast("long")).over(so_far), "re": F.sum(F.col("is_end").cast("long")).over(so_far)})
+    flags = written(flags, "session-ends")  # both sides of the join read these few rows, not the windows again
     if one_block:
         flags = flags.withColumns({"os": F.lit(0), "oe": F.lit(0)})
     else:
