@@ -91,10 +91,14 @@ def _entry_parts() -> Column:
 
 
 def _record_rows(df: DataFrame, ord_: Column) -> DataFrame:
-    """Dated records by time cell, with their hashes."""
+    """Dated records by time cell."""
     dated = df.where((F.col("ts") > 0) & F.col("command").isNotNull())
     cell = _cell("device", F.floor(F.col("ts") / CELL_S))
-    rows = dated.select(cell.alias("cell"), F.col("ts").cast("long").alias("ts"), ord_.alias("ord"), normal(F.col("command")).alias("norm"))
+    return dated.select(cell.alias("cell"), F.col("ts").cast("long").alias("ts"), ord_.alias("ord"), normal(F.col("command")).alias("norm"))
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    """Records with their hashes, as they are stored."""
     return rows.select("cell", "ts", "ord", _record_parts().alias("parts"), "norm")
 
 
@@ -135,7 +139,8 @@ class Accepted:
 
     def _put(self, what: str, rows: DataFrame, batch: int) -> None:
         view = f"runlore_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, _TABLES[what][1]).createOrReplaceTempView(view)
+        placed = rows.repartition(self.buckets, _TABLES[what][1])
+        (_hashed(placed) if what == "paragraphs" else placed).createOrReplaceTempView(view)  # hashes do not move
         self.spark.sql(f"INSERT OVERWRITE TABLE {self.name}_{what} PARTITION (batch = {int(batch)}) SELECT * FROM {view}")
         self.spark.catalog.dropTempView(view)
 
@@ -189,8 +194,8 @@ class Accepted:
         probe = at.select("eid", "at", "norm", F.explode(F.transform(cells, lambda c: _cell(F.col("device"), c))).alias("cell"))
         stored = self._table("paragraphs").join(probe.select("cell").hint("shuffle_hash"), "cell", "left_semi")
         stored = stored.groupBy("cell", "ts", "norm").agg(F.min("ord").alias("ord"), F.first("parts").alias("parts")).select("cell", "ts", "ord", "parts", "norm")
-        own = at.select(_cell("device", F.floor(F.col("at") / CELL_S)).alias("cell"), F.col("at").alias("ts"), F.col("eid").alias("ord"), "norm").select("cell", "ts", "ord", _record_parts().alias("parts"), "norm")
-        stored.unionByName(own).write.parquet(f"{path}/records")
+        own = at.select(_cell("device", F.floor(F.col("at") / CELL_S)).alias("cell"), F.col("at").alias("ts"), F.col("eid").alias("ord"), "norm")
+        stored.unionByName(_hashed(own)).write.parquet(f"{path}/records")
         records = self.spark.read.parquet(f"{path}/records")
         size = records.groupBy("cell").agg(F.collect_set(F.char_length("norm")).alias("lens"), F.ceil(F.count("*") / HOT).cast("int").alias("chunks"))
         hot = size.where("chunks > 1")
