@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -209,19 +210,34 @@ class Utf8Stream:
         return "�" if cut else ""
 
 
+def ascii_split(pattern: str) -> re.Pattern | None:
+    """What a splitting pattern is over texts of ASCII alone, for the faster engine: letters, digits and white space
+    spelt out. None where the pattern has classes that this does not know."""
+    plain = re.sub(r"\[\^?[^\]]*\]|\\p\{[LN]\}|\\s", lambda m: _ascii_class(m[0]), pattern)
+    return None if "\\p" in plain or "(?i" in plain or "\\w" in plain else re.compile(plain, re.ASCII)
+
+
+def _ascii_class(text: str) -> str:
+    inside = text[0] == "["
+    for name, spelt in ((r"\p{L}", "A-Za-z"), (r"\p{N}", "0-9"), (r"\s", r" \t\n\r\f\v")):
+        text = text.replace(name, spelt if inside else f"[{spelt}]")
+    return text
+
+
 class Tokenizer:
     """Texts to ids and back, with remembered pieces."""
 
     def __init__(self, path: str, pattern: str) -> None:
         self.fst = Transducer(path)
         self.split = regex.compile(pattern)
+        self.ascii_split = ascii_split(pattern) or self.split
         self.pieces: dict[str, tuple[int, ...]] = {}
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
         if text:
-            known = self.pieces
-            for m in self.split.finditer(text) if len(text) > 1 << 20 else self.split.findall(text):
+            known, split = self.pieces, self.ascii_split if text.isascii() else self.split
+            for m in split.finditer(text) if len(text) > 1 << 20 else split.findall(text):
                 piece = m if isinstance(m, str) else m[0]
                 ids = known.get(piece)
                 if ids is None:

@@ -299,6 +299,17 @@ def test_bpe_against_library_and_round_trip(spark):
     assert enc.where("doc_id < 0").count() == 0
 
 
+def test_ascii_texts_are_split_alike():
+    import regex
+
+    pattern = bpe.split_pattern()
+    fast, full, r = bpe.ascii_split(pattern), regex.compile(pattern), random.Random(1)
+    for _ in range(5000):
+        t = "".join(chr(r.choice([r.randrange(128), 32, 10, 39, 115, 97, 48, 28, 31, 11, 12])) for _ in range(r.randrange(14)))
+        assert fast.findall(t) == full.findall(t), t
+    assert bpe.ascii_split(r"\p{Lu}+|\s") is None
+
+
 def test_utf8_stream_in_parts():
     data = "aé中🚀z".encode()
     for cut in range(len(data)):
