@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from runlore.runtime import exists, scratch
+from runlore.runtime import drop_shuffles, exists, scratch
 
 NEAR_S = 5
 MAX_EDITS = 3
@@ -151,6 +151,7 @@ class Accepted:
     def add_history(self, history: DataFrame) -> None:
         """Accept history rows (device, command, ts, seq); null commands hold nothing and are left out."""
         self.add(history.select("device", "command", "ts", "seq"), -1 - F.col("seq").cast("long"), HISTORY)
+        drop_shuffles(self.spark)
 
     def add_batch(self, entries: DataFrame, batch: int) -> None:
         """Accept the entries (device, command, ts, entry_id) of a batch; ``batch`` is its number, from 1."""
