@@ -42,6 +42,7 @@ ORACLE = {
     "p7_patterns": f"{_PATTERNS} SELECT array_to_string(p, ' > ') AS steps, len(p) AS n_steps, n AS support FROM found",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p6_found": f"{_HELD} SELECT entry_id FROM held",
+    "p6_caught_up": f"{_HELD} SELECT entry_id FROM held",
     "p6_replayed": f"{_HELD} SELECT entry_id, batch_no FROM held JOIN import_entries USING (entry_id)",
     "p6_batches": f"""{_HELD} SELECT batch_no, count(*) AS n_entries, count(h.entry_id) AS duplicates, count(*) - count(h.entry_id) AS n_new
 FROM import_entries i LEFT JOIN held h USING (entry_id) GROUP BY batch_no""",

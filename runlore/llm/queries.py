@@ -29,21 +29,28 @@ def p5_counts(spark: SparkSession, sf: str) -> DataFrame:
     return heavy.top_values(table(spark, sf, "history"), "command", 20).select(F.col("value").alias("command"), F.col("n").alias("n_rows"))
 
 
+def p6_replayed(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries already held when they arrive, with their batch: the batches are taken one by one, each by a fresh reader
+    of the stored tables, and appended."""
+    return newness.replayed(table(spark, sf, "history"), table(spark, sf, "import_entries"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return newness.held_entries(table(spark, sf, "history"), table(spark, sf, "import_entries"))
+    return p6_replayed(spark, sf).select("entry_id")
 
 
-def p6_replayed(spark: SparkSession, sf: str) -> DataFrame:
-    """The same rows, the batches taken one by one, each by a fresh reader of the stored tables."""
-    return newness.replayed(table(spark, sf, "history"), table(spark, sf, "import_entries"))
+def p6_caught_up(spark: SparkSession, sf: str) -> DataFrame:
+    """The same entries by one catch-up over all batches together."""
+    return newness.held_entries(table(spark, sf, "history"), table(spark, sf, "import_entries"))
 
 
 def p6_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Per batch: entries, those new to their device and the duplicates."""
     entries = table(spark, sf, "import_entries")
-    held = newness.held_entries(table(spark, sf, "history"), entries).withColumn("dup", F.lit(1))
-    dup = F.coalesce(F.sum("dup"), F.lit(0))
-    return entries.join(held.hint("merge"), "entry_id", "left").groupBy("batch_no").agg(F.count("*").alias("n_entries"), dup.alias("duplicates"), (F.count("*") - dup).alias("n_new"))
+    dup = p6_replayed(spark, sf).groupBy("batch_no").agg(F.count("*").alias("dup"))
+    n = entries.groupBy("batch_no").agg(F.count("*").alias("n_entries")).join(dup.hint("merge"), "batch_no", "left")
+    held = F.coalesce("dup", F.lit(0))
+    return n.select("batch_no", "n_entries", held.alias("duplicates"), (F.col("n_entries") - held).alias("n_new"))
 
 
 def p7_patterns(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,7 +111,7 @@ QUERIES = {
     "p10_found": p10_found, "p10_clean": p10_clean,
     "p2_found": p2_found, "p2_redacted": p2_redacted, "p8_ids": p8_ids, "p8_decoded": p8_decoded,
     "p3_found": p3_found, "p3_similar": p3_similar, "p5_found": p5_found, "p5_counts": p5_counts,
-    "p6_found": p6_found, "p6_replayed": p6_replayed, "p6_batches": p6_batches, "p7_found": p7_found, "p7_patterns": p7_patterns,
+    "p6_found": p6_found, "p6_replayed": p6_replayed, "p6_caught_up": p6_caught_up, "p6_batches": p6_batches, "p7_found": p7_found, "p7_patterns": p7_patterns,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
