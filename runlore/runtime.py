@@ -61,12 +61,6 @@ def release(spark: SparkSession) -> int:
     return len(paths)
 
 
-def drop_shuffles(spark: SparkSession) -> None:
-    """Have the shuffle files of finished jobs removed. They stay until the driver collects its garbage, which after
-    one large write may be long; they take as much disk as what was written."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
